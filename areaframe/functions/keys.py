@@ -25,12 +25,9 @@ def strip_prefix(c: Column | str, prefix: str) -> Column:
 
 
 def zero_fill(c: Column | str, width: int = KEY_WIDTH) -> Column:
-    """Zeros on the left up to ``width``, after a sign; longer text is never cut."""
+    """Zeros on the left up to ``width``; longer text is never cut."""
     c = as_column(c)
-    sign = F.regexp_extract(c, "^[+-]?", 0)
-    rest = F.regexp_replace(c, "^[+-]", "")
-    padded = F.concat(sign, F.lpad(rest, F.lit(width) - F.length(sign), F.lit("0")))
-    return F.when(F.length(c) < width, padded).otherwise(c)
+    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
 
 
 def key_from_number(c: Column | str, width: int = KEY_WIDTH) -> Column:
@@ -40,7 +37,15 @@ def key_from_number(c: Column | str, width: int = KEY_WIDTH) -> Column:
 
 def key_from_text(c: Column | str, width: int = KEY_WIDTH) -> Column:
     """Key from text. Whole numbers, also spelled '501.0', are padded; other
-    text (several keys in one field, say) is kept and simply never matches."""
-    text = F.trim(as_column(c))
-    digits = F.regexp_extract(text, r"^(\d+)(\.0*)?$", 1)
-    return F.when(digits != "", zero_fill(digits, width)).otherwise(as_column(c))
+    text (several keys in one field, say) is kept and simply never matches.
+
+    The cases are ordered so that a key already in form costs one test.
+    """
+    c = as_column(c)
+    digits = F.regexp_extract(c, r"\d+", 0)
+    return (
+        F.when(c.rlike(rf"^\d{{{width},}}$"), c)
+        .when(c.rlike(rf"^\s*\d{{1,{width - 1}}}(\.0*)?\s*$"), F.lpad(digits, width, "0"))
+        .when(c.rlike(r"^\s*\d+(\.0*)?\s*$"), digits)
+        .otherwise(c)
+    )

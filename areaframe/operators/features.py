@@ -41,43 +41,72 @@ def drop_missing_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 # Splits
 
 
-def proportional_quotas(groups: DataFrame, label: str, size: str, share: float) -> DataFrame:
-    """Adds ``quota``: ``ceil(share * all)`` dealt to the groups in proportion to
-    ``size``, whole parts first, then one each by largest remainder.
+def proportional_quotas(groups: Column, share: float) -> Column:
+    """``ceil(share * all)`` rows dealt to groups in proportion to their size:
+    whole parts first, then one each by largest remainder, smaller label first.
 
-    ``groups`` holds one row per class, so one row with an array of them is small.
-    Products of counts go through decimals: they pass 64 bits on large tables.
+    Takes an array of (label, size, full), one entry per class, and adds ``quota``
+    to each; ``full`` is only handed on. Products of counts go through decimals: they pass 64 bits on large tables.
     """
-    count = F.col(size).cast("decimal(19,0)")
-    everything = groups.agg(
-        F.sum(count).cast("decimal(19,0)").alias("all"),
-        F.collect_list(F.struct(F.col(label), F.col(size))).alias("groups"),
-    ).withColumn("draws", F.ceil(F.col("all") * F.lit(share)).cast("decimal(19,0)"))
-    dealt = everything.select(
-        "all", "draws", F.explode("groups").alias("group")
-    ).select(
-        F.col(f"group.{label}").alias(label),
-        F.col(f"group.{size}").alias(size),
-        "draws",
-        F.expr(f"cast(group.{size} as decimal(19,0)) * draws div all").alias("whole"),
-        F.expr(f"cast(group.{size} as decimal(19,0)) * draws % all").alias("rest"),
+    size = F.aggregate(groups, F.lit(0).cast("bigint"), lambda acc, g: acc + g["size"])
+    draws = F.ceil(size * F.lit(float(share))).cast("bigint")
+    wide = "decimal(19,0)"
+
+    def portion(g: Column) -> Column:
+        product = g["size"].cast(wide) * draws.cast(wide)
+        rest = product % F.greatest(size, F.lit(1)).cast(wide)
+        whole = ((product - rest) / F.greatest(size, F.lit(1)).cast(wide)).cast("bigint")
+        return F.struct(
+            (-rest).alias("order"),
+            g["label"].alias("label"),
+            g["size"].alias("size"),
+            whole.alias("whole"),
+            g["full"].alias("full"),
+        )
+
+    portions = F.array_sort(F.transform(groups, portion))
+    given = F.aggregate(portions, F.lit(0).cast("bigint"), lambda acc, g: acc + g["whole"])
+    return F.transform(
+        portions,
+        lambda g, place: F.struct(
+            g["label"].alias("label"),
+            g["size"].alias("size"),
+            g["full"].alias("full"),
+            (g["whole"] + (place < draws - given).cast("bigint")).alias("quota"),
+        ),
     )
-    ranked = dealt.groupBy("draws").agg(
-        F.sum("whole").alias("given"),
-        F.sort_array(
-            F.collect_list(
-                F.struct((-F.col("rest")).alias("order"), F.col(label), F.col(size), F.col("whole"))
-            )
-        ).alias("groups"),
+
+
+def split_cuts(
+    sizes: DataFrame, test_share: float, validation_share: float
+) -> DataFrame:
+    """From (label, size), one row per class: after how many rows of a class, in
+    hash order, its test rows end, and after how many its validation rows."""
+    group = F.struct("label", "size", F.col("size").alias("full"))
+    one = sizes.agg(F.collect_list(group).alias("groups"))
+    tested = one.select(proportional_quotas(F.col("groups"), test_share).alias("tested"))
+    rest = F.transform(
+        "tested",
+        lambda g: F.struct(
+            g["label"].alias("label"),
+            (g["size"] - g["quota"]).alias("size"),
+            g["size"].alias("full"),
+        ),
     )
-    return ranked.select("draws", "given", F.posexplode("groups").alias("place", "group")).select(
-        F.col(f"group.{label}").alias(label),
-        F.col(f"group.{size}").alias(size),
-        (
-            F.col("group.whole")
-            + (F.col("place") < F.col("draws") - F.col("given")).cast("int")
-        ).cast("bigint").alias("quota"),
+    validated = tested.select("tested", proportional_quotas(rest, validation_share).alias("rest"))
+    ends = validated.select(
+        F.explode(
+            F.concat(
+                F.transform("tested", lambda g: F.struct(
+                    g["label"].alias("_class"), F.lit(TEST).alias("_part"),
+                    g["quota"].alias("_rows"))),
+                F.transform("rest", lambda g: F.struct(
+                    g["label"].alias("_class"), F.lit(VALIDATION).alias("_part"),
+                    (g["full"] - g["size"] + g["quota"]).alias("_rows"))),
+            )
+        ).alias("end")
     )
+    return ends.select("end.*")
 
 
 def stratified_split(
@@ -108,35 +137,17 @@ def stratified_split(
     ).withColumn("_range", F.shiftright(F.col("_at.hash"), 64 - bits))
 
     ranges = placed.groupBy("_class", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = ranges.groupBy("_class").agg(F.sum("_n").alias("_size"))
-    tested = proportional_quotas(sizes, "_class", "_size", test_share)
-    rest = tested.select("_class", F.col("quota").alias("_tested"),
-                         (F.col("_size") - F.col("quota")).alias("_rest"))
-    validated = proportional_quotas(rest, "_class", "_rest", validation_share)
-    cuts = (
-        tested.select("_class", F.col("quota").alias("_tested"))
-        .join(F.broadcast(validated.select("_class", "quota")), "_class")
-        .select(
-            "_class",
-            F.explode(
-                F.array(
-                    F.struct(F.lit(TEST).alias("part"), F.col("_tested").alias("rows")),
-                    F.struct(F.lit(VALIDATION).alias("part"),
-                             (F.col("_tested") + F.col("quota")).alias("rows")),
-                )
-            ).alias("cut"),
-        )
-    )
+    sizes = ranges.groupBy(F.col("_class").alias("label")).agg(F.sum("_n").alias("size"))
+    cuts = split_cuts(sizes, test_share, validation_share)
     # Running counts over at most 2**bits ranges of one class.
-    before = Window.partitionBy("_class").orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
+    up_to = Window.partitionBy("_class").orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    running = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    running = ranges.withColumn("_upto", F.sum("_n").over(up_to))
     cut_ranges = running.join(F.broadcast(cuts), "_class").filter(
-        (F.col("_before") < F.col("cut.rows"))
-        & (F.col("cut.rows") <= F.col("_before") + F.col("_n"))
-    ).select("_class", "_range", F.col("cut.part").alias("_part"),
-             (F.col("cut.rows") - F.col("_before")).alias("_rank"))
+        (F.col("_upto") - F.col("_n") < F.col("_rows")) & (F.col("_rows") <= F.col("_upto"))
+    ).select("_class", "_range", "_part",
+             (F.col("_rows") - F.col("_upto") + F.col("_n")).alias("_rank"))
 
     in_range = Window.partitionBy("_class", "_range", "_part").orderBy("_at")
     last_rows = (

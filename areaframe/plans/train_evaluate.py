@@ -78,8 +78,9 @@ def evaluate(name: str, model: PipelineModel, prepared: DataFrame, features: Seq
 def train_and_evaluate(
     features: DataFrame,
     classes: Sequence[int] = CLASSES,
-    steps: int = 1000,
     rounds: int = 10,
+    steps: int = 1000,
+    solver: str = "gd",
     seed: int = SEED,
 ) -> DataFrame:
     """Both models on one prepared table, their measures in one table. The model
@@ -88,7 +89,9 @@ def train_and_evaluate(
     names = feature_names(features)
     train = prepared.filter(F.col("split") == TRAIN)
     trees = fit_boosted_trees(train, names, TARGET, rounds=rounds, seed=seed)
-    net = fit_neural_net(train, names, TARGET, len(classes), steps=steps, seed=seed)
+    net = fit_neural_net(
+        train, names, TARGET, len(classes), steps=steps, solver=solver, seed=seed
+    )
     return evaluate("boosted_trees", trees, prepared, names).unionByName(
         evaluate("neural_net", net, prepared, names)
     )

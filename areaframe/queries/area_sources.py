@@ -2,17 +2,20 @@
 
 One area is one customer. Each source is a plain projection of a whole table (or
 a count by customer), written as expressions that Spark and a SQL oracle both
-read, with missing values, unparsable numbers, odd keys and ties among them.
+read, with missing values, unparsable numbers, odd keys and ties among them. All
+measures are whole or half numbers, so that sums are exact in any order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .registry import table
 
 NUMBER = "cast(cast(floor({0}) as bigint) as string)"
 CUSTOMER_KEY = "cast(c_custkey as string)"
+PADDED_KEY = f"lpad({CUSTOMER_KEY}, 5, '0')"
 PRICE = NUMBER.format("o_totalprice")
 
 # Source: base table, then column by column its expression.
@@ -20,7 +23,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
     "income": (
         "customer",
         {
-            "zipcode": CUSTOMER_KEY,
+            "zipcode": PADDED_KEY,
             "median_income": "case when c_nationkey = 3 then null else c_acctbal * 20 end",
         },
     ),
@@ -47,7 +50,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
             "zipcode": "case o_orderpriority when '5-LOW' then "
             "concat(cast(o_custkey as string), ',', cast(o_orderkey as string)) "
             "when '4-NOT SPECIFIED' then null else cast(o_custkey as string) end",
-            "acres": "case when o_orderpriority = '3-MEDIUM' then null else o_totalprice end",
+            "acres": "case when o_orderpriority = '3-MEDIUM' then null else cast(floor(o_totalprice) as double) end",
         },
     ),
     "energy": (
@@ -75,7 +78,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
             "numbldgs": "cast(l_linenumber - 1 as double)",
             "unitsres": "l_quantity",
             "unitstotal": "l_quantity + l_linenumber",
-            "bldgarea": "l_extendedprice",
+            "bldgarea": "cast(floor(l_extendedprice) as double)",
         },
     ),
     "gardens": (
@@ -91,7 +94,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
             "health": "case when l_returnflag = 'R' then null when l_linenumber <= 3 then 'Good' "
             "when l_linenumber <= 5 then 'Fair' when l_linenumber = 6 then 'Poor' "
             "when l_linestatus = 'O' then 'odd' else null end",
-            "postcode": "cast(l_partkey as string)",
+            "postcode": "lpad(cast(l_partkey as string), 5, '0')",
             "nta_name": "case when l_linenumber = 1 then null else "
             "concat('area ', cast(l_linenumber as string)) end",
         },
@@ -127,13 +130,15 @@ GROUPED = {"population": "o_custkey"}
 
 
 def derived_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    tables = {base: table(spark, folder, base) for base in {base for base, _ in DERIVED.values()}}
+
     def frame(name: str) -> DataFrame:
         base, columns = DERIVED[name]
-        rows = table(spark, folder, base)
+        rows = tables[base]
         expressions = [f"{expression} as {column}" for column, expression in columns.items()]
         if name in GROUPED:
             grouped = rows.groupBy(GROUPED[name]).agg(
-                *[_aggregate(e, c) for c, e in columns.items() if c != "zipcode"]
+                *[F.expr(e).alias(c) for c, e in columns.items() if c != "zipcode"]
             )
             return grouped.selectExpr(
                 f"{columns['zipcode']} as zipcode", *[c for c in columns if c != "zipcode"]
@@ -143,12 +148,6 @@ def derived_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: frame(name) for name in DERIVED}
 
 
-def _aggregate(expression: str, column: str):
-    from pyspark.sql import functions as F
-
-    return F.expr(expression).alias(column)
-
-
 def source_sql(*names: str) -> str:
     """The derived sources as common table expressions."""
 

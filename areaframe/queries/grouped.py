@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bucketize, ratio, round_half_even
@@ -39,15 +39,24 @@ from ..operators.joins import (
 from ..operators.projection import rename
 from .registry import LABELLED, labelled_documents, query, table
 
+CENTS = "round({0} * 100)::BIGINT"
+
+
+def cents(column: str) -> Column:
+    """Money as whole cents, so that sums are exact and the same in any order."""
+    return F.rint(F.col(column) * 100).cast("bigint")
+
+
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 TYPE_GROUPS = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 2, "PROMO": 3, "SMALL": 4}
 
 
 @query(
-    "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS total_price FROM orders "
+    f"WITH t AS (SELECT o_custkey, sum({CENTS.format('o_totalprice')}) / 100.0::DOUBLE "
+    "AS total_price FROM orders "
     "WHERE o_orderstatus IS DISTINCT FROM 'F' AND o_orderstatus IS DISTINCT FROM 'P' "
     "AND o_custkey IS NOT NULL GROUP BY o_custkey) "
-    "SELECT c_custkey, c_name, round(coalesce(total_price, 0), 2) AS total_price "
+    "SELECT c_custkey, c_name, coalesce(total_price, 0) AS total_price "
     "FROM customer LEFT JOIN t ON c_custkey = o_custkey"
 )
 def filtered_sum_left_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +64,7 @@ def filtered_sum_left_fill(spark: SparkSession, folder: str) -> DataFrame:
     totals = summarise(
         rename(orders, {"o_custkey": "c_custkey"}),
         "c_custkey",
-        total_price=F.round(total("o_totalprice"), 2),
+        total_price=total(cents("o_totalprice")) / 100.0,
     )
     customers = table(spark, folder, "customer").select("c_custkey", "c_name")
     return left_onto(customers, totals, "c_custkey", {"total_price": 0.0})
@@ -90,79 +99,81 @@ def inner_spine_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT l_suppkey, round(sum(l_extendedprice) / count(*), 6) AS price_per_row "
+    f"SELECT l_suppkey, sum({CENTS.format('l_extendedprice')})::DOUBLE / count(*) AS cents_per_row "
     "FROM lineitem GROUP BY l_suppkey"
 )
 def sum_per_row(spark: SparkSession, folder: str) -> DataFrame:
     return summarise(
         table(spark, folder, "lineitem"),
         "l_suppkey",
-        price_per_row=F.round(total_per_row("l_extendedprice"), 6),
+        cents_per_row=total_per_row(cents("l_extendedprice")),
     )
 
 
 @query(
-    "SELECT l_partkey, round(sum(l_extendedprice) / nullif(sum(l_quantity), 0), 6) AS unit_price, "
-    "round(sum(l_tax) / nullif(sum(l_discount), 0), 6) AS tax_over_discount "
+    f"SELECT l_partkey, sum({CENTS.format('l_extendedprice')})::DOUBLE "
+    "/ nullif(sum(l_quantity), 0) AS unit_cents, "
+    f"sum({CENTS.format('l_tax')})::DOUBLE / nullif(sum({CENTS.format('l_discount')}), 0) "
+    "AS tax_over_discount "
     "FROM lineitem GROUP BY l_partkey"
 )
 def sum_over_sum(spark: SparkSession, folder: str) -> DataFrame:
     return summarise(
         table(spark, folder, "lineitem"),
         "l_partkey",
-        unit_price=F.round(total_over_total("l_extendedprice", "l_quantity"), 6),
-        tax_over_discount=F.round(total_over_total("l_tax", "l_discount"), 6),
+        unit_cents=total_over_total(cents("l_extendedprice"), "l_quantity"),
+        tax_over_discount=total_over_total(cents("l_tax"), cents("l_discount")),
     )
 
 
 @query(
-    "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) "
-    "SELECT c_custkey, round(s / nullif(c_acctbal, 0), 4) AS price_over_balance "
+    f"WITH t AS (SELECT o_custkey, sum({CENTS.format('o_totalprice')}) AS s FROM orders "
+    "GROUP BY o_custkey) SELECT c_custkey, s::DOUBLE / nullif(c_acctbal, 0) AS cents_over_balance "
     "FROM customer LEFT JOIN t ON c_custkey = o_custkey"
 )
 def sum_per_spine_measure(spark: SparkSession, folder: str) -> DataFrame:
     orders = rename(table(spark, folder, "orders"), {"o_custkey": "c_custkey"})
-    totals = summarise(orders, "c_custkey", price=total("o_totalprice"))
+    totals = summarise(orders, "c_custkey", price=total(cents("o_totalprice")))
     customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal")
     return left_onto(customers, totals, "c_custkey").select(
-        "c_custkey", F.round(ratio("price", "c_acctbal"), 4).alias("price_over_balance")
+        "c_custkey", ratio("price", "c_acctbal").alias("cents_over_balance")
     )
 
 
 @query(
-    "SELECT event_type, round(avg(value), 6) AS mean_value FROM events GROUP BY event_type"
+    f"SELECT event_type, avg({CENTS.format('value')}) AS mean_cents FROM events GROUP BY event_type"
 )
 def mean_by_key(spark: SparkSession, folder: str) -> DataFrame:
     return summarise(
-        table(spark, folder, "events"), "event_type", mean_value=F.round(mean("value"), 6)
+        table(spark, folder, "events"), "event_type", mean_cents=mean(cents("value"))
     )
 
 
 @query(
-    "SELECT l_suppkey, round(avg(l_extendedprice - l_quantity), 6) AS mean_gap "
+    f"SELECT l_suppkey, avg({CENTS.format('l_extendedprice')} - {CENTS.format('l_tax')}) AS mean_gap "
     "FROM lineitem GROUP BY l_suppkey"
 )
 def mean_gap_by_key(spark: SparkSession, folder: str) -> DataFrame:
     return summarise(
         table(spark, folder, "lineitem"),
         "l_suppkey",
-        mean_gap=F.round(mean_gap("l_extendedprice", "l_quantity"), 6),
+        mean_gap=mean_gap(cents("l_extendedprice"), cents("l_tax")),
     )
 
 
 @query(
-    "SELECT p_brand, round(avg(l_extendedprice - p_retailprice), 4) AS mean_gap "
+    f"SELECT p_brand, avg({CENTS.format('l_extendedprice')} - {CENTS.format('p_retailprice')}) AS mean_gap "
     "FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"
 )
 def mean_diff(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of one part are summed before the join, so that a part with a
     third of all rows is one row there; the gap is then taken on the sums."""
     items = rename(table(spark, folder, "lineitem"), {"l_partkey": "p_partkey"})
-    per_part = summarise(items, "p_partkey", price=total("l_extendedprice"), items=rows())
+    per_part = summarise(items, "p_partkey", price=total(cents("l_extendedprice")), items=rows())
     priced = per_part.join(table(spark, folder, "part"), "p_partkey")
-    gap = F.col("price") - F.col("items") * F.col("p_retailprice")
+    gap = F.col("price") - F.col("items") * cents("p_retailprice")
     return summarise(
-        priced, "p_brand", mean_gap=F.round(total_over_total(gap, "items"), 4)
+        priced, "p_brand", mean_gap=total_over_total(gap, "items")
     )
 
 
@@ -184,17 +195,16 @@ def mode_by_user(spark: SparkSession, folder: str) -> DataFrame:
     ) + "), s AS (" + MODE_SQL.format(
         key="l_suppkey", value="l_linenumber", name="usual_line", table="lineitem"
     ) + "), q AS (SELECT l_suppkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_suppkey) "
-    "SELECT q.l_suppkey, usual_flag, usual_line, round(quantity, 2) AS quantity "
+    "SELECT q.l_suppkey, usual_flag, usual_line, quantity "
     "FROM q JOIN f ON q.l_suppkey = f.l_suppkey JOIN s ON q.l_suppkey = s.l_suppkey"
 )
 def modes_with_totals(spark: SparkSession, folder: str) -> DataFrame:
-    table_ = summarise_with_modes(
+    return summarise_with_modes(
         table(spark, folder, "lineitem"),
         "l_suppkey",
         modes={"usual_flag": "l_returnflag", "usual_line": "l_linenumber"},
         totals={"quantity": F.col("l_quantity")},
     )
-    return table_.withColumn("quantity", F.round("quantity", 2))
 
 
 @query(
@@ -240,7 +250,7 @@ def count_by_key(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FLAG_SHARES = ", ".join(
-    f"round((count(*) FILTER (WHERE l_returnflag = '{f}'))::DOUBLE / count(l_returnflag), 8) "
+    f"(count(*) FILTER (WHERE l_returnflag = '{f}'))::DOUBLE / count(l_returnflag) "
     f"AS share_{f.lower()}"
     for f in "ANR"
 )
@@ -250,31 +260,30 @@ FLAG_SHARES = ", ".join(
     f"SELECT l_suppkey, count(*) AS items, {FLAG_SHARES} FROM lineitem GROUP BY l_suppkey"
 )
 def shares_by_key(spark: SparkSession, folder: str) -> DataFrame:
-    shares = {f"share_{f.lower()}": F.round(share_of("l_returnflag", f), 8) for f in "ANR"}
+    shares = {f"share_{f.lower()}": share_of("l_returnflag", f) for f in "ANR"}
     return summarise(table(spark, folder, "lineitem"), "l_suppkey", items=rows(), **shares)
 
 
 @query(
     f"WITH {LABELLED} SELECT source, "
-    "round((count(*) FILTER (WHERE quality = 0))::DOUBLE / nullif(count(quality), 0), 8) AS poor, "
-    "round((count(*) FILTER (WHERE quality = 1))::DOUBLE / nullif(count(quality), 0), 8) AS good "
+    "(count(*) FILTER (WHERE quality = 0))::DOUBLE / nullif(count(quality), 0) AS poor, "
+    "(count(*) FILTER (WHERE quality = 1))::DOUBLE / nullif(count(quality), 0) AS good "
     "FROM d WHERE quality IS NOT NULL GROUP BY source"
 )
 def shares_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    shares = contingency_shares(
+    return contingency_shares(
         labelled_documents(spark, folder), "source", "quality", [0, 1], ["poor", "good"]
     )
-    return shares.select("source", *[F.round(c, 8).alias(c) for c in ("poor", "good")])
 
 
 @query(
-    f"WITH {LABELLED} SELECT source, round((count(*) FILTER (WHERE poor))::DOUBLE "
-    "/ nullif(count(poor), 0), 8) AS poor_share "
+    f"WITH {LABELLED} SELECT source, (count(*) FILTER (WHERE poor))::DOUBLE "
+    "/ nullif(count(poor), 0) AS poor_share "
     "FROM (SELECT source, quality = 0 AS poor FROM d) GROUP BY source"
 )
 def flag_share(spark: SparkSession, folder: str) -> DataFrame:
     flagged = labelled_documents(spark, folder).withColumn("poor", F.col("quality") == 0)
-    return summarise(flagged, "source", poor_share=F.round(share_of("poor", True), 8))
+    return summarise(flagged, "source", poor_share=share_of("poor", True))
 
 
 @query(
@@ -357,16 +366,16 @@ def outer_align_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "WITH o AS (SELECT o_custkey, count(*) AS orders, sum(o_totalprice) AS price, "
+    "WITH o AS (SELECT o_custkey, count(*) AS orders, "
+    f"sum({CENTS.format('o_totalprice')}) / 100.0::DOUBLE AS price, "
     "(count(*) FILTER (WHERE o_orderstatus = 'F'))::DOUBLE / count(o_orderstatus) AS finished "
-    "FROM orders GROUP BY o_custkey), e AS (SELECT user_id, avg(value) AS mean_event FROM events "
+    f"FROM orders GROUP BY o_custkey), e AS (SELECT user_id, avg({CENTS.format('value')}) AS mean_cents FROM events "
     "GROUP BY user_id), p AS ("
     + MODE_SQL.format(
         key="o_custkey", value="o_orderpriority", name="usual_priority", table="orders"
     )
     + ") SELECT c_custkey, c_mktsegment, coalesce(orders, 0) AS orders, "
-    "round(coalesce(price, 0), 2) AS price, round(finished, 8) AS finished, usual_priority, "
-    "round(mean_event, 6) AS mean_event FROM customer LEFT JOIN o ON c_custkey = o_custkey "
+    "coalesce(price, 0) AS price, finished, usual_priority, mean_cents FROM customer LEFT JOIN o ON c_custkey = o_custkey "
     "LEFT JOIN p ON c_custkey = p.o_custkey LEFT JOIN e ON c_custkey = user_id"
 )
 def star_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -376,11 +385,11 @@ def star_features(spark: SparkSession, folder: str) -> DataFrame:
         orders,
         "c_custkey",
         orders=rows(),
-        price=F.round(total("o_totalprice"), 2),
-        finished=F.round(share_of("o_orderstatus", "F"), 8),
+        price=total(cents("o_totalprice")) / 100.0,
+        finished=share_of("o_orderstatus", "F"),
     )
     usual = mode_by_key(orders, "c_custkey", "o_orderpriority", "usual_priority")
-    event_means = summarise(events, "c_custkey", mean_event=F.round(mean("value"), 6))
+    event_means = summarise(events, "c_custkey", mean_cents=mean(cents("value")))
     return assemble(
         table(spark, folder, "customer").select("c_custkey", "c_mktsegment"),
         "c_custkey",

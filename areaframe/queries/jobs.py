@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans import (
     area_features,
@@ -23,15 +22,6 @@ from .registry import query, table
 YEAR = 1998
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(
-        *[
-            F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name
-            for f in df.schema.fields
-        ]
-    )
-
-
 # A text key in its one spelling, and what a lenient parser makes of dirty text.
 KEY = (
     "CASE WHEN regexp_full_match(trim({0}), '[0-9]+([.]0*)?') THEN "
@@ -99,15 +89,15 @@ AREA_SQL = (
     "/ nullif(cast(total AS BIGINT), 0)), 0) / 10000 AS p FROM poverty "
     "WHERE regexp_full_match(name, 'ZCTA5 [0-9]+')), "
     "full_ AS (SELECT spine.z AS zipcode, borough, nta_name AS neighborhood, population, "
-    "round(sizes.a / nullif(sizes.b, 0), 6) AS average_building_area, "
-    "round(sizes.u / nullif(population, 0), 6) AS res_units_per_capita, "
-    "round(score, 6) AS mean_energy_star_score_50k_building, "
-    "round(e, 6) AS electricity_onsite_renew_per_50k_building, "
-    "round(g, 6) AS green_power_onsite_per_50k_building, "
-    "round(power.n, 6) AS nat_gas_onsite_per_50k_building, coalesce(alive.n, 0) AS num_trees, "
-    "round(coalesce(acres, 0), 6) AS total_acres_greenstreets, "
+    "sizes.a / nullif(sizes.b, 0) AS average_building_area, "
+    "sizes.u / nullif(population, 0) AS res_units_per_capita, "
+    "score AS mean_energy_star_score_50k_building, "
+    "e AS electricity_onsite_renew_per_50k_building, "
+    "g AS green_power_onsite_per_50k_building, "
+    "power.n AS nat_gas_onsite_per_50k_building, coalesce(alive.n, 0) AS num_trees, "
+    "coalesce(acres, 0) AS total_acres_greenstreets, "
     "coalesce(plots.n, 0) AS num_community_gardens, w AS white_percent, shares.b AS black_percent, "
-    "p AS poverty_percent, round(c, 6) AS college_percent, j AS jail_admissions_per_100k, "
+    "p AS poverty_percent, c AS college_percent, j AS jail_admissions_per_100k, "
     "CASE WHEN median_income >= 150000 THEN 3 WHEN median_income >= 100000 THEN 2 "
     "WHEN median_income >= 50000 THEN 1 ELSE 0 END AS income_group, hvi "
     "FROM spine LEFT JOIN acres ON spine.z = acres.z LEFT JOIN power ON spine.z = power.z "
@@ -125,7 +115,7 @@ AREA_SQL = (
 
 @query(AREA_SQL)
 def area_feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(area_features(derived_sources(spark, folder), YEAR))
+    return area_features(derived_sources(spark, folder), YEAR)
 
 
 KEPT_SQL = (
@@ -158,17 +148,17 @@ MODEL_SQL = (
     + ", plots AS (SELECT z, count(*) AS n FROM gardens JOIN lots ON gardens.block = lots.block GROUP BY z), "
     f"health AS (SELECT {KEY.format('postcode')} AS z, count(*) AS n, "
     "(count(*) FILTER (WHERE health = 0))::DOUBLE / count(*) AS good FROM kept GROUP BY ALL), "
-    "model AS (SELECT cast(spine.z AS INTEGER) AS zipcode, round(median_income, 6) AS median_income, "
+    "model AS (SELECT cast(spine.z AS INTEGER) AS zipcode, median_income AS median_income, "
     "population, hvi, coalesce(acres.n, 0) AS num_greenstreets, "
-    "round(coalesce(acres, 0), 6) AS total_acres_greenstreets, "
-    "round(coalesce(score, 0), 6) AS mean_energy_star_score_50k, "
-    "round(coalesce(gap, 0), 6) AS mean_gap_energy_star_score_50k, "
-    "round(coalesce(e, 0), 6) AS electricity_onsite_renew_50k, "
+    "coalesce(acres, 0) AS total_acres_greenstreets, "
+    "coalesce(score, 0) AS mean_energy_star_score_50k, "
+    "coalesce(gap, 0) AS mean_gap_energy_star_score_50k, "
+    "coalesce(e, 0) AS electricity_onsite_renew_50k, "
     f"{GROUP_SQL.format('landuse')} AS most_common_landuse_code, "
-    "round(coalesce(sizes.u, 0), 6) AS total_units, round(coalesce(sizes.a, 0), 6) AS total_building_areas, "
+    "coalesce(sizes.u, 0) AS total_units, coalesce(sizes.a, 0) AS total_building_areas, "
     "CASE borough WHEN 'MN' THEN 0 WHEN 'SI' THEN 1 WHEN 'BX' THEN 2 WHEN 'QN' THEN 3 WHEN 'BK' THEN 4 END "
     "AS borough, coalesce(plots.n, 0) AS num_community_gardens, health.n AS num_trees, "
-    "round(good, 6) AS proportion_healthy_trees "
+    "good AS proportion_healthy_trees "
     "FROM spine LEFT JOIN acres ON spine.z = acres.z LEFT JOIN power ON spine.z = power.z "
     "LEFT JOIN sizes ON spine.z = sizes.z LEFT JOIN uses ON spine.z = uses.z "
     "LEFT JOIN boroughs ON spine.z = boroughs.z LEFT JOIN plots ON spine.z = plots.z "
@@ -178,7 +168,7 @@ MODEL_SQL = (
 
 @query(MODEL_SQL + "SELECT * FROM model")
 def model_feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(model_features(derived_sources(spark, folder), YEAR))
+    return model_features(derived_sources(spark, folder), YEAR)
 
 
 @query(
@@ -191,7 +181,7 @@ def land_use_of_areas(spark: SparkSession, folder: str) -> DataFrame:
     return land_use_histogram(model_features(derived_sources(spark, folder), YEAR))
 
 
-HEALTH_SHARE = "round((count(*) FILTER (WHERE health = {0}))::DOUBLE / count(*), 6)"
+HEALTH_SHARE = "(count(*) FILTER (WHERE health = {0}))::DOUBLE / count(*)"
 HEALTH_SQL = f"WITH {source_sql('trees')}, {KEPT_SQL} "
 
 
@@ -204,7 +194,7 @@ HEALTH_SQL = f"WITH {source_sql('trees')}, {KEPT_SQL} "
     + " FROM kept WHERE postcode IS NOT NULL GROUP BY postcode"
 )
 def tree_health_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(health_profile(derived_sources(spark, folder)["trees"]))
+    return health_profile(derived_sources(spark, folder)["trees"])
 
 
 @query(
@@ -212,7 +202,7 @@ def tree_health_profile(spark: SparkSession, folder: str) -> DataFrame:
     "AS goodProportion FROM kept WHERE postcode IS NOT NULL GROUP BY postcode"
 )
 def tree_health_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(health_summary(derived_sources(spark, folder)["trees"]))
+    return health_summary(derived_sources(spark, folder)["trees"])
 
 
 @query(
@@ -221,7 +211,7 @@ def tree_health_summary(spark: SparkSession, folder: str) -> DataFrame:
     + " FROM kept WHERE postcode IS NOT NULL GROUP BY postcode"
 )
 def tree_health_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(health_pivot(derived_sources(spark, folder)["trees"]))
+    return health_pivot(derived_sources(spark, folder)["trees"])
 
 
 @query(
@@ -244,7 +234,7 @@ def document_health_profile(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("lang") == "en", "Alive").otherwise("Stump").alias("status"),
         F.when(F.col("quality") == 0, "Poor").when(F.col("quality") == 1, "Good").alias("health"),
     )
-    return rounded(health_profile(trees, "source"))
+    return health_profile(trees, "source")
 
 
 @query()
@@ -256,4 +246,5 @@ def prepared_model_table(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def train_evaluate(spark: SparkSession, folder: str) -> DataFrame:
-    return train_and_evaluate(model_features(derived_sources(spark, folder), YEAR))
+    features = model_features(derived_sources(spark, folder), YEAR)
+    return train_and_evaluate(features, steps=100, solver="l-bfgs")

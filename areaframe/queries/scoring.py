@@ -41,7 +41,7 @@ def class_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-SCORES = "e AS (SELECT vec_id, label, list_transform(embedding[1:10], x -> x::DOUBLE) AS s FROM embeddings)"
+SCORES = "e AS (SELECT vec_id, label, embedding[1:10]::DOUBLE[] AS s FROM embeddings)"
 PREDICTED = SCORES + (
     ", p AS (SELECT vec_id, label, s, cast(list_position(s, list_max(s)) - 1 AS INTEGER) "
     "AS prediction FROM e)"
@@ -82,8 +82,9 @@ def accuracy_of_top_class(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SCORES}, x AS (SELECT label, s, list_sum(list_transform(s, v -> exp(v))) AS z FROM e) "
-    "SELECT round(avg(ln(z) - s[label + 1]), 9) AS log_loss FROM x"
+    f"WITH {SCORES}, v AS (SELECT vec_id, unnest(s) AS v FROM e), "
+    "z AS (SELECT vec_id, sum(exp(v)) AS z FROM v GROUP BY vec_id) "
+    "SELECT round(avg(ln(z) - s[label + 1]), 9) AS log_loss FROM e JOIN z ON e.vec_id = z.vec_id"
 )
 def softmax_log_loss(spark: SparkSession, folder: str) -> DataFrame:
     scores = class_scores(spark, folder).withColumn("scores", soft_scores("scores"))
@@ -105,10 +106,9 @@ BY_CLASS = (
 )
 
 
-@query(BY_CLASS + "SELECT class, round(auc, 9) AS auc FROM a")
+@query(BY_CLASS + "SELECT class, auc FROM a")
 def ovr_auc(spark: SparkSession, folder: str) -> DataFrame:
-    by_class = one_vs_rest_auc(class_scores(spark, folder), "label", "scores")
-    return by_class.withColumn("auc", F.round("auc", 9))
+    return one_vs_rest_auc(class_scores(spark, folder), "label", "scores")
 
 
 @query(BY_CLASS + "SELECT round(avg(auc), 9) AS macro_auc FROM a")
@@ -121,12 +121,11 @@ def macro_auc_of_scores(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {LABELLED}, x AS (SELECT lang, quality = 1 AS own, n_chars AS v FROM d "
     "WHERE quality IS NOT NULL), a AS ("
     + AUC.format(keys="lang, ", part="lang")
-    + ") SELECT lang, round(auc, 9) AS auc FROM a"
+    + ") SELECT lang, auc FROM a"
 )
 def length_auc_by_language(spark: SparkSession, folder: str) -> DataFrame:
     judged = labelled_documents(spark, folder).na.drop(subset=["quality"])
-    by_lang = area_under_curve(judged, ["lang"], F.col("quality") == 1, F.col("n_chars"))
-    return by_lang.withColumn("auc", F.round("auc", 9))
+    return area_under_curve(judged, ["lang"], F.col("quality") == 1, F.col("n_chars"))
 
 
 PART_SCALING = (
@@ -161,7 +160,7 @@ def standard_scale_missing(spark: SparkSession, folder: str) -> DataFrame:
 QUOTAS = (
     "SELECT g.label, g.n, g.n * t.k // t.n + (row_number() OVER "
     "(ORDER BY g.n * t.k % t.n DESC, g.label) <= t.k - sum(g.n * t.k // t.n) OVER ())::INTEGER AS q "
-    "FROM {0} g, (SELECT sum(n)::BIGINT AS n, ceil(0.1 * sum(n))::BIGINT AS k FROM {0}) t"
+    "FROM {0} g, (SELECT sum(n)::BIGINT AS n, ceil(0.1::DOUBLE * sum(n))::BIGINT AS k FROM {0}) t"
 )
 SPLIT_SIZES = (
     "g AS (SELECT label, count(*) AS n FROM l GROUP BY label), a AS ("
@@ -248,5 +247,7 @@ def boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
 def neural_net(spark: SparkSession, folder: str) -> DataFrame:
     parts, names = embedding_parts(spark, folder)
     train = parts.filter(F.col("split") == TRAIN)
-    model = fit_neural_net(train, names, "label", len(CLASSES), seed=SEED)
+    model = fit_neural_net(
+        train, names, "label", len(CLASSES), steps=100, solver="l-bfgs", seed=SEED
+    )
     return held_out_scores(model, parts, names)
