@@ -130,8 +130,8 @@ def stratified_split(
     broadcast: at most two rows for each of the given ``classes``. A label
     outside ``classes`` stops the job.
     """
-    position = F.struct(F.xxhash64(as_column(row_id), F.lit(seed)).alias("hash"),
-                        as_column(row_id).alias("id"))
+    hashed = F.xxhash64(as_column(row_id), F.lit(seed))
+    position = F.struct(hashed.alias("hash"), as_column(row_id).alias("id"))
     placed = df.select(as_column(label).alias("_class"), position.alias("_at")).filter(
         F.col("_class").isin(*classes)
     ).withColumn("_range", F.shiftright(F.col("_at.hash"), 64 - bits))
@@ -160,14 +160,19 @@ def stratified_split(
             F.max(F.when(F.col("_part") == VALIDATION, F.col("_at"))).alias("_validation_end"),
         )
     )
-    joined = df.withColumn("_class", as_column(label)).join(
+    joined = df.withColumns({"_class": as_column(label), "_hash": hashed}).join(
         F.broadcast(last_rows), "_class", "left"
     )
+
+    def up_to_end(end: str) -> Column:
+        same = (F.col("_hash") == F.col(f"{end}.hash")) & (as_column(row_id) <= F.col(f"{end}.id"))
+        return (F.col("_hash") < F.col(f"{end}.hash")) | same
+
     part = (
         F.when(~F.coalesce(F.col("_class").isin(*classes), F.lit(False)),
                F.raise_error(F.lit("label is missing or outside the given classes")))
-        .when(position <= F.col("_test_end"), TEST)
-        .when(position <= F.col("_validation_end"), VALIDATION)
+        .when(up_to_end("_test_end"), TEST)
+        .when(up_to_end("_validation_end"), VALIDATION)
         .otherwise(TRAIN)
     )
     return joined.withColumn("split", part).select(*[as_column(c) for c in df.columns], "split")

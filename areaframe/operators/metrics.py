@@ -11,10 +11,14 @@ from ..functions.missing import as_column
 from .aggregates import count_of
 
 
-def accuracy(df: DataFrame, label: str, prediction: str, name: str = "accuracy") -> DataFrame:
-    """One row: the share of rows whose prediction is the label."""
+def accuracy_of(label: str, prediction: str) -> Column:
+    """The share of rows whose prediction is the label."""
     right = as_column(label) == as_column(prediction)
-    return df.agg(F.try_divide(F.count_if(right), F.count(F.lit(1))).alias(name))
+    return F.try_divide(F.count_if(right), F.count(F.lit(1)))
+
+
+def accuracy(df: DataFrame, label: str, prediction: str, name: str = "accuracy") -> DataFrame:
+    return df.agg(accuracy_of(label, prediction).alias(name))
 
 
 def confusion(
@@ -31,10 +35,14 @@ def confusion(
     )
 
 
-def log_loss(df: DataFrame, label: str, scores: str, name: str = "log_loss") -> DataFrame:
-    """One row: the mean negative log of the score given to the true class."""
+def log_loss_of(label: str, scores: str) -> Column:
+    """The mean negative log of the score given to the true class."""
     own = F.element_at(as_column(scores), as_column(label).cast("int") + 1)
-    return df.agg(F.avg(-F.ln(F.greatest(own, F.lit(1e-15)))).alias(name))
+    return F.avg(-F.ln(F.greatest(own, F.lit(1e-15))))
+
+
+def log_loss(df: DataFrame, label: str, scores: str, name: str = "log_loss") -> DataFrame:
+    return df.agg(log_loss_of(label, scores).alias(name))
 
 
 def present(c: Column, what: str) -> Column:
@@ -47,9 +55,9 @@ def area_under_curve(df: DataFrame, keys: Sequence[str], positive: Column, score
 
     Rows are counted per distinct score first. Counts of negatives below a score
     are then summed digit by digit, as in a radix sort: within scores that share
-    all but the last digits, then between groups sharing fewer, up to the power
-    of two. A window so never holds more than about 2**18 rows however many
-    distinct scores a class has and wherever they crowd, and every exchange
+    the power of two and 30 bits after it, then between groups that share 8 bits,
+    then between those. A window so never holds more than about 2**22 rows however
+    many distinct scores a class has and wherever they crowd, and every exchange
     carries counts only. Powers of two scale exactly, so the digits nest exactly.
     """
     value = present(score.cast("double"), "score")
@@ -65,15 +73,19 @@ def area_under_curve(df: DataFrame, keys: Sequence[str], positive: Column, score
     fraction = F.col("_score") * F.pow(F.lit(2.0), -F.col("_power"))
     cells = counted.withColumn("_power", power).withColumns({
         "_octave": F.signum("_score") * (F.col("_power") + 2000),
-        "_coarse": F.floor(fraction * float(2**18)),
-        "_fine": F.floor(fraction * float(2**36)),
+        "_coarse": F.floor(fraction * float(2**8)),
+        "_fine": F.floor(fraction * float(2**30)),
         "_wins": F.col("_pos") * F.col("_neg") / 2.0,
     })
-    levels = ["_octave", "_coarse", "_fine", "_score"]
-    while levels:
-        digit = levels.pop()
-        group = [*keys, *levels]
-        below = Window.partitionBy(*group).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+    for order, shared in (
+        (["_score"], ["_octave", "_coarse", "_fine"]),
+        (["_fine"], ["_octave", "_coarse"]),
+        (["_octave", "_coarse"], []),
+    ):
+        group = [*keys, *shared]
+        below = Window.partitionBy(*group).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
         lower = F.coalesce(F.sum("_neg").over(below), F.lit(0.0))
         cells = (
             cells.withColumn("_wins", F.col("_wins") + F.col("_pos") * lower)

@@ -83,14 +83,14 @@ def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], label:
     """Adds ``label``, ``prediction`` and ``scores``, an array with one per class
     that sums to 1. One-vs-rest models give margins, which softmax brings there."""
     scored = model.transform(as_doubles(df, features, label))
-    if "probability" in scored.columns:
-        scores = vector_to_array("probability")
-    else:
-        scores = soft_scores(vector_to_array("rawPrediction"))
+    vector = "probability" if "probability" in scored.columns else "rawPrediction"
+    # A column of its own: scoring is not repeated for each mention of the array.
+    arrays = scored.withColumn("scores", vector_to_array(vector))
+    if vector == "rawPrediction":
+        arrays = arrays.withColumn("scores", soft_scores("scores"))
     extra = {"probability", "rawPrediction", "features", *[f"{f}_filled" for f in features]}
     return (
-        scored.withColumn("scores", scores)
-        .withColumn("prediction", F.col("prediction").cast("int"))
+        arrays.withColumn("prediction", F.col("prediction").cast("int"))
         .withColumn("label", F.col("label").cast("int"))
         .drop(*extra)
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import first_five_digits, key_from_number, key_from_text
-from ..operators.filters import exclude_values, keep_equal
+from ..operators.filters import drop_incomplete, exclude_values, keep_equal
 from ..operators.joins import inner_spine
 
 Sources = Mapping[str, DataFrame]
@@ -15,9 +16,15 @@ KEY = "zipcode"
 
 
 def keyed(df: DataFrame, column: str = KEY) -> DataFrame:
-    """The text key in its one spelling, under the name that all joins use."""
-    keys = df.withColumn("_key", key_from_text(column)).drop(column)
-    return keys.withColumnRenamed("_key", KEY)
+    """Rows with a text key, in its one spelling, under the name all joins use.
+
+    The test for a missing key is made on the column as it is stored, where the
+    scan can take it over. Past it the key is declared present, which spares the
+    next step from working the key out a second time just to test it.
+    """
+    present = df.filter(F.col(column).isNotNull())
+    keys = present.withColumn("_key", F.coalesce(key_from_text(column), F.lit("")))
+    return keys.drop(column).withColumnRenamed("_key", KEY)
 
 
 def spine(sources: Sources) -> DataFrame:
@@ -36,4 +43,6 @@ def energy_of_year(energy: DataFrame, year: int) -> DataFrame:
 
 
 def keyed_parcels(parcels: DataFrame) -> DataFrame:
-    return parcels.withColumn(KEY, key_from_number("postcode"))
+    """Lots with a numeric key, for the same reason tested before it is spelled."""
+    present = drop_incomplete(parcels, ["postcode"])
+    return present.withColumn(KEY, F.coalesce(key_from_number("postcode"), F.lit("")))

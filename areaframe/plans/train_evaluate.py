@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.features import (
@@ -15,7 +15,7 @@ from ..operators.features import (
     fit_scaling,
     stratified_split,
 )
-from ..operators.metrics import accuracy, log_loss, macro_auc, one_vs_rest_auc
+from ..operators.metrics import accuracy_of, log_loss_of, one_vs_rest_auc
 from ..operators.models import fit_boosted_trees, fit_neural_net, predict
 from ..operators.projection import shift
 from ..session import cut_lineage
@@ -48,31 +48,45 @@ def prepare_features(
     return apply_scaling(parts, fit_scaling(train, scaled), scaled)
 
 
-def evaluate(name: str, model: PipelineModel, prepared: DataFrame, features: Sequence[str],
-             target: str = TARGET) -> DataFrame:
-    """Long table of measures: overall ones without a class, AUC also per class."""
+def evaluate(
+    name: str,
+    model: PipelineModel,
+    prepared: DataFrame,
+    features: Sequence[str],
+    target: str = TARGET,
+) -> DataFrame:
+    """Long table of measures: overall ones without a class, AUC also per class.
+
+    Rows are scored once per part of the split. What a part yields is one row per
+    class at most, so its measures are put together in one row and then listed.
+    """
 
     def scored(part: str) -> DataFrame:
         return predict(model, prepared.filter(F.col("split") == part), features, target)
 
-    held_out, trained = scored(VALIDATION), scored(TRAIN)
-    by_class = one_vs_rest_auc(held_out, "label", "scores")
-
-    def row(table: DataFrame, metric: str, value: str, class_=F.lit(None)) -> DataFrame:
-        return table.select(
-            F.lit(name).alias("model"),
+    def entry(metric: str, value: Column, class_: Column | None = None) -> Column:
+        return F.struct(
             F.lit(metric).alias("metric"),
-            class_.cast("int").alias("class"),
-            F.col(value).alias("value"),
+            (F.lit(None) if class_ is None else class_).cast("int").alias("class"),
+            value.alias("value"),
         )
 
-    return (
-        row(accuracy(held_out, "label", "prediction"), "accuracy", "accuracy")
-        .unionByName(row(accuracy(trained, "label", "prediction"), "train_accuracy", "accuracy"))
-        .unionByName(row(log_loss(trained, "label", "scores"), "train_log_loss", "log_loss"))
-        .unionByName(row(by_class, "auc", "auc", F.col("class")))
-        .unionByName(row(macro_auc(by_class), "macro_auc", "macro_auc"))
+    right = accuracy_of("label", "prediction")
+    trained = scored(TRAIN).agg(
+        F.array(
+            entry("train_accuracy", right), entry("train_log_loss", log_loss_of("label", "scores"))
+        ).alias("entries")
+    )
+    held_out = scored(VALIDATION)
+    overall = held_out.agg(F.array(entry("accuracy", right)).alias("entries"))
+    by_class = one_vs_rest_auc(held_out, "label", "scores").agg(
+        F.concat(
+            F.collect_list(entry("auc", F.col("auc"), F.col("class"))),
+            F.array(entry("macro_auc", F.avg("auc"))),
+        ).alias("entries")
     )
+    entries = trained.unionByName(overall).unionByName(by_class)
+    return entries.select(F.lit(name).alias("model"), F.inline("entries"))
 
 
 def train_and_evaluate(

@@ -102,12 +102,12 @@ def equality_filter(spark: SparkSession, folder: str) -> DataFrame:
     return customers.select("c_custkey", "c_name")
 
 
-@query(f"WITH {LABELLED} SELECT * FROM d WHERE NOT (quality IS NULL AND lang = 'en')")
+@query(f"WITH {LABELLED} SELECT * FROM d WHERE NOT (quality IS NULL AND lang = 'en')", name="drop_missing_and_equal")
 def drop_missing_and_equal_rows(spark: SparkSession, folder: str) -> DataFrame:
     return drop_missing_and_equal(labelled_documents(spark, folder), "quality", "lang", "en")
 
 
-@query(f"WITH {LABELLED} SELECT * FROM d WHERE quality IS NULL AND lang = 'en'")
+@query(f"WITH {LABELLED} SELECT * FROM d WHERE quality IS NULL AND lang = 'en'", name="show_missing_and_equal")
 def show_missing_and_equal_rows(spark: SparkSession, folder: str) -> DataFrame:
     return show_missing_and_equal(labelled_documents(spark, folder), "quality", "lang", "en")
 
@@ -226,7 +226,8 @@ def missing_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "SELECT o_orderkey, CASE WHEN o_totalprice >= 150000 THEN 3 WHEN o_totalprice >= 100000 THEN 2 "
-    "WHEN o_totalprice >= 50000 THEN 1 ELSE 0 END AS price_group FROM orders"
+    "WHEN o_totalprice >= 50000 THEN 1 ELSE 0 END AS price_group FROM orders",
+    name="bucketize",
 )
 def bucketize_prices(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(

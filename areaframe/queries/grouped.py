@@ -85,7 +85,8 @@ def half_even_share(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey "
-    "JOIN region ON n_regionkey = r_regionkey"
+    "JOIN region ON n_regionkey = r_regionkey",
+    name="inner_spine",
 )
 def inner_spine_rows(spark: SparkSession, folder: str) -> DataFrame:
     nations = inner_spine(
@@ -184,7 +185,7 @@ MODE_SQL = (
 )
 
 
-@query(MODE_SQL.format(key="user_id", value="event_type", name="usual_event", table="events"))
+@query(MODE_SQL.format(key="user_id", value="event_type", name="usual_event", table="events"), name="mode_by_key")
 def mode_by_user(spark: SparkSession, folder: str) -> DataFrame:
     return mode_by_key(table(spark, folder, "events"), "user_id", "event_type", "usual_event")
 
@@ -210,7 +211,8 @@ def modes_with_totals(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "SELECT p_brand, "
     + ", ".join(f"count(*) FILTER (WHERE p_type = '{t}') AS {t.lower()}" for t in PART_TYPES)
-    + " FROM part GROUP BY p_brand"
+    + " FROM part GROUP BY p_brand",
+    name="contingency",
 )
 def contingency_by_brand(spark: SparkSession, folder: str) -> DataFrame:
     names = [t.lower() for t in PART_TYPES]
@@ -227,7 +229,8 @@ def majority_column(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT p_brand, CASE top_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 2 "
     "WHEN 'PROMO' THEN 3 WHEN 'SMALL' THEN 4 END AS type_group FROM ("
     + MODE_SQL.format(key="p_brand", value="p_type", name="top_type", table="part")
-    + ")"
+    + ")",
+    name="majority_group",
 )
 def majority_group_code(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part")
@@ -353,7 +356,8 @@ def bridge_count_distinct(spark: SparkSession, folder: str) -> DataFrame:
     "WITH c AS (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey), "
     "s AS (SELECT s_nationkey, count(*) AS suppliers FROM supplier WHERE s_acctbal < 1000 "
     "GROUP BY s_nationkey) SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, customers, "
-    "suppliers FROM c FULL JOIN s ON c_nationkey = s_nationkey"
+    "suppliers FROM c FULL JOIN s ON c_nationkey = s_nationkey",
+    name="outer_align",
 )
 def outer_align_counts(spark: SparkSession, folder: str) -> DataFrame:
     customers = rename(table(spark, folder, "customer"), {"c_nationkey": "nationkey"})
@@ -381,19 +385,30 @@ def outer_align_counts(spark: SparkSession, folder: str) -> DataFrame:
 def star_features(spark: SparkSession, folder: str) -> DataFrame:
     orders = rename(table(spark, folder, "orders"), {"o_custkey": "c_custkey"})
     events = rename(table(spark, folder, "events"), {"user_id": "c_custkey"})
-    order_measures = summarise(
+    status = F.col("o_orderstatus")
+    per_order = summarise_with_modes(
         orders,
         "c_custkey",
-        orders=rows(),
-        price=total(cents("o_totalprice")) / 100.0,
-        finished=share_of("o_orderstatus", "F"),
+        modes={"usual_priority": "o_orderpriority"},
+        totals={
+            "orders": F.lit(1),
+            "cents": cents("o_totalprice"),
+            "done": (status == "F").cast("int"),
+            "known": status.isNotNull().cast("int"),
+        },
+    )
+    order_measures = per_order.select(
+        "c_custkey",
+        "orders",
+        (F.col("cents") / 100.0).alias("price"),
+        ratio("done", "known").alias("finished"),
+        "usual_priority",
     )
-    usual = mode_by_key(orders, "c_custkey", "o_orderpriority", "usual_priority")
     event_means = summarise(events, "c_custkey", mean_cents=mean(cents("value")))
     return assemble(
         table(spark, folder, "customer").select("c_custkey", "c_mktsegment"),
         "c_custkey",
-        [Branch(order_measures, {"orders": 0, "price": 0.0}), Branch(usual), Branch(event_means)],
+        [Branch(order_measures, {"orders": 0, "price": 0.0}), Branch(event_means)],
     )
 
 

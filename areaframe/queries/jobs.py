@@ -223,7 +223,8 @@ def tree_health_pivot(spark: SparkSession, folder: str) -> DataFrame:
         f"{HEALTH_SHARE.format(code)} AS {name}Proportion"
         for code, name in ((3, "dead"), (2, "poor"), (1, "fair"), (0, "good"))
     )
-    + " FROM k GROUP BY source"
+    + " FROM k GROUP BY source",
+    name="health_profile",
 )
 def document_health_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The profile over naturally missing values: labels stand in for health."""

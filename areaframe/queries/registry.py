@@ -12,16 +12,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its own name; without SQL only its rows are checked."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own or the given name. Without SQL only its
+    rows are checked."""
 
     def register(function: Query) -> Query:
-        name = function.__name__
-        if name in QUERIES:
-            raise ValueError(f"two queries named {name}")
-        QUERIES[name] = function
+        key = name or function.__name__
+        if key in QUERIES:
+            raise ValueError(f"two queries named {key}")
+        QUERIES[key] = function
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[key] = sql
         return function
 
     return register

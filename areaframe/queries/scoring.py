@@ -67,7 +67,8 @@ def softmax_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"WITH {PREDICTED} SELECT label, "
     + ", ".join(f"count(*) FILTER (WHERE prediction = {c}) AS predicted_{c}" for c in CLASSES)
-    + " FROM p GROUP BY label"
+    + " FROM p GROUP BY label",
+    name="confusion",
 )
 def confusion_counts(spark: SparkSession, folder: str) -> DataFrame:
     return confusion(class_scores(spark, folder), "label", "prediction", CLASSES)
@@ -75,7 +76,8 @@ def confusion_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"WITH {PREDICTED} SELECT (count(*) FILTER (WHERE label = prediction))::DOUBLE / count(*) "
-    "AS accuracy FROM p"
+    "AS accuracy FROM p",
+    name="accuracy",
 )
 def accuracy_of_top_class(spark: SparkSession, folder: str) -> DataFrame:
     return accuracy(class_scores(spark, folder), "label", "prediction")
@@ -111,7 +113,7 @@ def ovr_auc(spark: SparkSession, folder: str) -> DataFrame:
     return one_vs_rest_auc(class_scores(spark, folder), "label", "scores")
 
 
-@query(BY_CLASS + "SELECT round(avg(auc), 9) AS macro_auc FROM a")
+@query(BY_CLASS + "SELECT round(avg(auc), 9) AS macro_auc FROM a", name="macro_auc")
 def macro_auc_of_scores(spark: SparkSession, folder: str) -> DataFrame:
     by_class = one_vs_rest_auc(class_scores(spark, folder), "label", "scores")
     return macro_auc(by_class).select(F.round("macro_auc", 9).alias("macro_auc"))
@@ -177,7 +179,7 @@ def split_sizes(parts: DataFrame, label: str) -> DataFrame:
     return parts.groupBy(F.col(label).alias("label"), "split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("WITH l AS (SELECT quality AS label FROM labels), " + SPLIT_SIZES)
+@query("WITH l AS (SELECT quality AS label FROM labels), " + SPLIT_SIZES, name="stratified_split")
 def stratified_split_sizes(spark: SparkSession, folder: str) -> DataFrame:
     parts = stratified_split(table(spark, folder, "labels"), "doc_id", "quality", [0, 1], SEED)
     return split_sizes(parts, "quality")

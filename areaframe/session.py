@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,20 +28,33 @@ def get_session(app: str = "areaframe", master: str | None = None, **settings: s
     extra = {name.replace("__", "."): value for name, value in settings.items()}
     for name, value in {**SETTINGS, **extra}.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if spark.sparkContext.getConf().get("spark.sql.shuffle.partitions") is None:
+        # A few tasks per core; partitions that turn out small are merged at run time.
+        partitions = max(8, 3 * spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach: the one the cluster names, or the one the
+    session was given. Only a session without either (a test on one machine) gets
+    a temporary folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="run-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and go on from the files.
+    """Write ``df`` to the shared folder once and go on from the files.
 
     Iterative fits read their input many times; a lost executor then re-reads
-    files instead of re-running the joins behind them. The folder is the one the
-    cluster names in ``spark.checkpoint.dir``; only a session without one (a test
-    on a single machine) gets a temporary folder.
+    files instead of re-running the joins behind them. The files are columnar, so
+    a pass that needs two columns reads two.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
