@@ -1,9 +1,13 @@
 """Joins onto a spine of keys.
 
-No join here is forced to broadcast. Branches reach a join aggregated to one row
-per key, so their real size is known when their exchange is written, and adaptive
-execution turns the join into a broadcast only below its threshold. Beyond it the
-branch is partitioned on the key already and the join adds no exchange for it.
+Branches reach a join aggregated to one row per key, so their real size is known
+when their exchange is written, and adaptive execution turns the join into a
+broadcast only below its threshold. Beyond it the branch is partitioned on the key
+already and the join adds no exchange for it.
+
+That is also why adaptive execution cannot split a hot key there: it does so only
+where both sides of a join come straight from an exchange. Where the left side may
+repeat keys, :func:`spread_join` splits them instead.
 """
 
 from __future__ import annotations
@@ -31,16 +35,67 @@ def inner_spine(key: str, *parts: DataFrame) -> DataFrame:
     return reduce(lambda left, right: left.join(right, key, "inner"), parts)
 
 
+def spread_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "left",
+    salts: int = 256,
+    hot_share: int = 1000,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """Join of a ``left`` in which few keys may hold most rows to a ``right`` with
+    one row per key. The result is that of the plain join.
+
+    A key is hot when it holds more than one part in ``hot_share`` of the left
+    rows, so there are fewer hot keys than that, and their list is broadcast. Rows
+    of a hot key are dealt to ``salts`` groups by a hash of the row (the same on
+    every attempt of a task), and only the hot rows of ``right`` are repeated to
+    meet them; all other rows join as they are. ``counts`` may bring ``_rows`` by
+    key from where it is cheaper to count, as long as they are no fewer.
+    """
+    counts = summarise(left, key, _rows=rows()) if counts is None else counts
+    limit = counts.agg(F.sum("_rows") / hot_share).scalar()
+    hot = counts.filter(F.col("_rows") > limit).select(key, F.lit(True).alias("_hot"))
+    names = [c for c in left.columns if c != key]
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").select(
+        key, *[F.col(f"`{c}`") for c in names], F.when(F.col("_hot"), salt).otherwise(0).alias("_salt")
+    )
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(every))
+    return dealt.join(repeated.drop("_hot"), [key, "_salt"], how).drop("_salt")
+
+
 def left_onto(
-    spine: DataFrame, branch: DataFrame, key: str, fill: Mapping[str, float] | None = None
+    spine: DataFrame,
+    branch: DataFrame,
+    key: str,
+    fill: Mapping[str, float] | None = None,
+    repeated: bool = False,
 ) -> DataFrame:
-    """Left join with constants for missing values; keeps every row of the spine."""
-    joined = spine.join(branch, key, "left")
+    """Left join with constants for missing values; keeps every row of the spine.
+    Say ``repeated`` where the spine has many rows per key; the branch has one."""
+    if repeated:
+        joined = spread_join(spine, branch, key)
+    else:
+        joined = spine.join(branch, key, "left")
     return joined.na.fill(dict(fill)) if fill else joined
 
 
-def assemble(spine: DataFrame, key: str, branches: Sequence[Branch]) -> DataFrame:
-    """The spine with all branches, one row per row of the spine."""
+def assemble(
+    spine: DataFrame, key: str, branches: Sequence[Branch], repeated: bool = False
+) -> DataFrame:
+    """The spine with all branches, one row per row of the spine.
+
+    Where the spine is ``repeated``, its keys get the branches once each and the
+    rows are joined to the finished table in one step.
+    """
+    if repeated:
+        keys = spine.select(key).filter(F.col(key).isNotNull()).distinct()
+        features = assemble(keys, key, [Branch(b.frame) for b in branches])
+        fill = {name: value for b in branches for name, value in b.fill.items()}
+        return left_onto(spine, features, key, fill, repeated=True)
     return reduce(lambda left, b: left_onto(left, b.frame, key, b.fill), branches, spine)
 
 
@@ -61,12 +116,15 @@ def bridge_counts(
 
     An item counts once per matching row of the bridge, or with ``distinct`` once
     per target. The rows of the product are never made: both sides are counted
-    first and the counts multiplied, so a key that holds a third of either side
-    is one row by the time of the join. Items that match nothing have no target.
+    first and the counts multiplied. A key that holds a third of the items is one
+    row by then; one that holds a third of the links has a row per target, which
+    the join spreads. Which keys those may be is told by the bridge's own rows.
+    Items that match nothing have no target.
     """
     per_item = summarise(items, on, _items=rows())
     per_link = summarise(bridge, [on, target], _links=F.lit(1) if distinct else rows())
-    pairs = per_link.join(per_item, on, "inner")
+    per_key = summarise(bridge, on, _rows=rows())
+    pairs = spread_join(per_link, per_item, on, "inner", counts=per_key)
     return pairs.groupBy(target).agg(F.sum(F.col("_items") * F.col("_links")).alias(name))
 
 

@@ -53,8 +53,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Iterative fits read their input many times; a lost executor then re-reads
     files instead of re-running the joins behind them. The files are columnar, so
-    a pass that needs two columns reads two.
+    a pass that needs two columns reads two. They lie under the application's id
+    and can be removed with that folder once its results are written.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    application = df.sparkSession.sparkContext.applicationId
+    path = f"{shared_folder(df.sparkSession)}/{application}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
