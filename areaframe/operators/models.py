@@ -9,6 +9,7 @@ from pyspark.ml.classification import (
     GBTClassifier,
     MultilayerPerceptronClassifier,
     OneVsRest,
+    OneVsRestModel,
 )
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_column
-from ..functions.numbers import soft_scores
+from ..functions.numbers import soft_scores, top_class
 
 
 def as_doubles(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
@@ -79,21 +80,36 @@ def fit_neural_net(
     return Pipeline(stages=stages).fit(as_doubles(train, features, label))
 
 
+def margins(model: OneVsRestModel, df: DataFrame, name: str) -> DataFrame:
+    """Adds an array with the margin of each class's own set of trees.
+
+    The sets are applied one by one, which stays in the JVM; the model's own
+    transform gathers them through a Python function per row and class.
+    """
+    columns = [f"_margin{i}" for i in range(len(model.models))]
+    for own, column in zip(model.models, columns):
+        scorer = own.copy().setRawPredictionCol(column).setPredictionCol("").setProbabilityCol("")
+        df = scorer.transform(df)
+    arrays = [vector_to_array(c)[1] for c in columns]
+    return df.withColumn(name, F.array(*arrays)).drop(*columns)
+
+
 def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Adds ``label``, ``prediction`` and ``scores``, an array with one per class
     that sums to 1. One-vs-rest models give margins, which softmax brings there."""
-    scored = model.transform(as_doubles(df, features, label))
-    vector = "probability" if "probability" in scored.columns else "rawPrediction"
-    # A column of its own: scoring is not repeated for each mention of the array.
-    arrays = scored.withColumn("scores", vector_to_array(vector))
-    if vector == "rawPrediction":
-        arrays = arrays.withColumn("scores", soft_scores("scores"))
+    named = as_doubles(df, features, label)
+    if isinstance(model.stages[-1], OneVsRestModel):
+        filled = PipelineModel(model.stages[:-1]).transform(named)
+        # A column of its own: scoring is not repeated for each mention of the array.
+        scored = margins(model.stages[-1], filled, "scores").withColumns(
+            {"scores": soft_scores("scores"), "prediction": top_class("scores")}
+        )
+    else:
+        scored = model.transform(named).withColumns(
+            {"scores": vector_to_array("probability"), "prediction": F.col("prediction").cast("int")}
+        )
     extra = {"probability", "rawPrediction", "features", *[f"{f}_filled" for f in features]}
-    return (
-        arrays.withColumn("prediction", F.col("prediction").cast("int"))
-        .withColumn("label", F.col("label").cast("int"))
-        .drop(*extra)
-    )
+    return scored.withColumn("label", F.col("label").cast("int")).drop(*extra)
 
 
 def training_trace(model: PipelineModel) -> list[float]:

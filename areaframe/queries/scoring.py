@@ -203,7 +203,7 @@ def stratified_split_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT p_partkey, [p_size::DOUBLE, p_retailprice] AS features, "
+    "SELECT p_partkey, p_size::DOUBLE AS first, p_retailprice AS second, "
     "cast(substr(p_brand, 7) AS DOUBLE) - 1 AS label FROM part"
 )
 def vector_and_label(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,7 +211,10 @@ def vector_and_label(spark: SparkSession, folder: str) -> DataFrame:
         "class", F.substring("p_brand", 7, 9).cast("int") - 1
     )
     vectors = assemble_vectors(parts, ["p_size", "p_retailprice"], "class", keep=["p_partkey"])
-    return vectors.withColumn("features", vector_to_array("features"))
+    elements = vector_to_array("features")
+    return vectors.select(
+        "p_partkey", elements[0].alias("first"), elements[1].alias("second"), "label"
+    )
 
 
 @query(f"WITH {LABELLED} SELECT doc_id, quality, toxic FROM d "
@@ -222,14 +225,11 @@ def drop_incomplete_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embedding_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
-    """One column per element, split once and kept as files for the fits."""
+    """Split once and kept as files for the fits, then one column per element."""
     names = [f"e{i}" for i in range(WIDTH)]
-    wide = table(spark, folder, "embeddings").select(
-        "vec_id",
-        "label",
-        *[F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(names)],
-    )
-    return cut_lineage(stratified_split(wide, "vec_id", "label", CLASSES, SEED)), names
+    parts = stratified_split(table(spark, folder, "embeddings"), "vec_id", "label", CLASSES, SEED)
+    elements = [F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(names)]
+    return cut_lineage(parts).select("vec_id", "label", "split", *elements), names
 
 
 def held_out_scores(model, parts: DataFrame, names: list[str]) -> DataFrame:

@@ -5,7 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from areaframe.operators.models import fit_neural_net, predict, training_trace
+from areaframe.operators.models import (
+    as_doubles,
+    fit_boosted_trees,
+    fit_neural_net,
+    predict,
+    training_trace,
+)
 from areaframe.plans import prepare_features, train_and_evaluate
 
 
@@ -54,3 +60,16 @@ def test_prepared_table(features):
     assert abs(train.agg(F.avg("income")).first()[0]) < 1e-9
     assert prepared.select("most_common_landuse_code").distinct().count() == 3
     assert {r[0] for r in prepared.select("hvi").distinct().collect()} == {0, 1, 2}
+
+
+def test_scoring_agrees_with_the_model_and_runs_no_python(features):
+    train = features.withColumn("hvi", F.col("hvi") - 1)
+    names = ["income", "share"]
+    model = fit_boosted_trees(train, names, "hvi", rounds=2, seed=1)
+    scored = predict(model, train, names, "hvi")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+    own = model.transform(as_doubles(train, names, "hvi")).select("zipcode", "prediction")
+    expected = {r[0]: int(r[1]) for r in own.collect()}
+    assert {r[0]: r[1] for r in scored.select("zipcode", "prediction").collect()} == expected
+    assert scored.count() == 300
