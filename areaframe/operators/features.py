@@ -132,8 +132,10 @@ def stratified_split(
     """
     hashed = F.xxhash64(as_column(row_id), F.lit(seed))
     position = F.struct(hashed.alias("hash"), as_column(row_id).alias("id"))
+    # Saying that the class is present, which follows, keeps both uses of the
+    # counts below alike, so that their exchange is made once.
     placed = df.select(as_column(label).alias("_class"), position.alias("_at")).filter(
-        F.col("_class").isin(*classes)
+        F.col("_class").isNotNull() & F.col("_class").isin(*classes)
     ).withColumn("_range", F.shiftright(F.col("_at.hash"), 64 - bits))
 
     ranges = placed.groupBy("_class", "_range").agg(F.count(F.lit(1)).alias("_n"))
