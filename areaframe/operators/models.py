@@ -65,7 +65,7 @@ def fit_neural_net(
     feature are skipped, in fitting and in scoring.
 
     A step is a pass over the training rows. Where passes are dear, the solver
-    'l-bfgs' gets to a lower loss in about a tenth of them.
+    'l-bfgs' gets to a lower training loss in about a tenth of them.
     """
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
