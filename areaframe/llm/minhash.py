@@ -240,8 +240,9 @@ def links(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> tuple[Data
     wanted = placed.select(
         F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"), "cid", "grp", "block"
     )
+    # Merged at every size: as a broadcast it would do for small corpora only.
     chosen = slim.join(
-        wanted, (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id"))
+        wanted.hint("merge"), (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id"))
     )
     sets = save(
         chosen.select("cid", "grp", "block", "text").mapInArrow(
