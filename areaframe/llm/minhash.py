@@ -120,9 +120,9 @@ def _full_sets(text: str, p: MinHash):
             low = (minima(sets, bounds, p) >> U(48)).astype(np.uint16)
             cut = [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), rows.column(2), pa.array(np.diff(bounds)),
+                [*rows.columns[:4], pa.array(np.diff(bounds)),
                  pa.array(cut, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())],
-                names=["cid", "grp", "block", "n", "items", "signature"],
+                names=["cid", "grp", "block", "blocks", "n", "items", "signature"],
             )
 
     return task
@@ -198,7 +198,6 @@ def _unit(*columns):
 def links(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs``: id, set size, class; and the links between classes that
     join all classes which any chain of links joins."""
-    spark = docs.sparkSession
     slim = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")
     )
@@ -238,27 +237,25 @@ def links(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> tuple[Data
     )
     # The text of one document of each class; its hash tells rows of one id apart.
     wanted = placed.select(
-        F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"), "cid", "grp", "block"
+        F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"), "cid", "grp", "block", "blocks"
     )
     # Merged at every size: as a broadcast it would do for small corpora only.
     chosen = slim.join(
         wanted.hint("merge"), (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id"))
     )
     sets = save(
-        chosen.select("cid", "grp", "block", "text").mapInArrow(
+        chosen.select("cid", "grp", "block", "blocks", "text").mapInArrow(
             _full_sets("text", p),
-            "cid bigint, grp bigint, block int, n bigint, items binary, signature binary",
+            "cid bigint, grp bigint, block int, blocks int, n bigint, items binary, signature binary",
         ),
         "sets",
     )
-    return rows, _checked(spark, sets, placed, p)
+    return rows, _checked(sets, placed, p)
 
 
-def _checked(spark, sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
+def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
     none = F.lit(-1).cast("bigint").alias("part")
-    counts = placed.select("cid", "blocks")
-    sized = sets.join(counts, "cid")
-    whole = sized.filter("blocks = 1").select(
+    whole = sets.filter("blocks = 1").select(
         _unit("grp").alias("unit"), F.lit(0).alias("side"), "cid", none, "n", "items", "signature"
     )
     found = save(_solved(whole, p), "links")
@@ -266,7 +263,7 @@ def _checked(spark, sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame
     if large.isEmpty():
         return found
     # The first block meets every block; a block also meets itself.
-    wide = sized.filter("blocks > 1")
+    wide = sets.filter("blocks > 1")
     others = wide.select(
         _unit("grp", "block").alias("unit"), F.lit(0).alias("side"), "cid", none, "n", "items", "signature"
     )
@@ -298,7 +295,7 @@ def _checked(spark, sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame
     if outside.isEmpty():
         return found
     packs = outside.select("grp", "pack").distinct()
-    numbered = sets.select("cid", "n", "items", "signature")
+    numbered = wide.select("cid", "n", "items", "signature")
     left = numbered.join(
         outside.withColumn("_to", F.explode(F.expr("sequence(0, blocks - 1)"))), "cid"
     ).select(_unit("grp", "pack", "_to").alias("unit"), F.lit(1).alias("side"), "cid", "part", "n", "items", "signature")
