@@ -8,17 +8,13 @@ from pyspark.sql import functions as F
 from .shared import save
 
 
-def _digest(edges: DataFrame):
-    return edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    ).first()
-
-
-def _tidy(edges: DataFrame) -> DataFrame:
-    high, low = F.greatest("a", "b"), F.least("a", "b")
-    return edges.filter(F.col("a") != F.col("b")).select(
-        high.alias("a"), low.alias("b")
-    ).distinct()
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether any node has two smaller neighbours, or one while others hang on it."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not seen.filter("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -32,27 +28,21 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     each join come straight from an exchange and a hub's rows can be split.
     """
     first, second = edges.columns[:2]
-    plain = edges.select(F.col(first).alias("a"), F.col(second).alias("b"))
-    current = save(_tidy(plain), "edges")
-    before = _digest(current)
+    high, low = F.greatest(first, second), F.least(first, second)
+    current = save(
+        edges.filter(F.col(first) != F.col(second)).select(high.alias("a"), low.alias("b")).distinct(), "edges"
+    )
     for _ in range(most_rounds):
-        if before[0] == 0:
+        if not _unsettled(current):
             break
-        both = current.select("a", "b").union(current.select(F.col("b"), F.col("a")))
-        least = save(
-            both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least"
+        both = current.union(current.select("b", "a"))
+        least = save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        wide = save(
+            both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "edges"
         )
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        wide = save(_tidy(large), "edges")
         least = save(wide.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = wide.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = save(
-            _tidy(small.union(least.select("a", F.col("m").alias("b")))), "edges"
-        )
-        after = _digest(current)
-        if after == before:
-            break
-        before = after
+        small = wide.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        current = save(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node")).distinct()

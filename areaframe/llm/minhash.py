@@ -196,8 +196,8 @@ def _unit(*columns):
 
 
 def links(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> tuple[DataFrame, DataFrame]:
-    """Per row of ``docs``: id, set size, class; and the links between classes that
-    join all classes which any chain of links joins."""
+    """Per row of ``docs``: id, set size, class; and (node, component) for classes that any chain of
+    links joins to others."""
     slim = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")
     )
@@ -261,7 +261,7 @@ def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
     found = save(_solved(whole, p), "links")
     large = placed.filter("blocks > 1")
     if large.isEmpty():
-        return found
+        return components(found)
     # The first block meets every block; a block also meets itself.
     wide = sets.filter("blocks > 1")
     others = wide.select(
@@ -272,7 +272,7 @@ def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
     )
     found = save(found.union(_solved(others.union(first), p)), "links")
     # What is outside the largest component of its group meets every block.
-    known = components(found)
+    known = save(components(found), "known")
     parts = save(
         large.join(known, large["cid"] == known["node"], "left").select(
             "cid", "grp", "block", "blocks", F.coalesce("component", "cid").alias("part")
@@ -293,7 +293,7 @@ def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
         "outside",
     )
     if outside.isEmpty():
-        return found
+        return known
     packs = outside.select("grp", "pack").distinct()
     numbered = wide.select("cid", "n", "items", "signature")
     left = numbered.join(
@@ -302,7 +302,18 @@ def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
     right = numbered.join(parts.select("cid", "grp", "block", "part"), "cid").join(
         save(packs, "packs"), "grp"
     ).select(_unit("grp", "pack", "block").alias("unit"), F.lit(0).alias("side"), "cid", "part", "n", "items", "signature")
-    return save(found.union(_solved(left.union(right), p)), "links")
+    more = _solved(left.union(right), p)
+    # What is new joins components that are known; only these are gone through again.
+    named = save(parts.select("cid", F.col("part")), "named")
+    ends = (
+        save(more, "links").join(named.select(F.col("cid").alias("a"), F.col("part").alias("pa")), "a")
+        .join(named.select(F.col("cid").alias("b"), F.col("part").alias("pb")), "b").select("pa", "pb")
+    )
+    met = save(components(ends), "met")
+    outer = parts.select(F.col("cid").alias("node"), F.col("part").alias("component"))
+    inner = known.join(large.select("cid"), F.col("node") == F.col("cid"), "left_anti")
+    renamed = outer.join(met.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    return inner.select("node", "component").union(renamed.select("node", F.coalesce("_to", "component")))
 
 
 def near_duplicates(
@@ -316,9 +327,8 @@ def near_duplicates(
     is never a component's name while another id is there, and is kept only where it is
     alone without one. Other columns are not read; an empty table gives no rows.
     """
-    rows, found = links(docs, id_col, text_col, params)
     # Components are named by class; their smallest document id is looked up after.
-    joined = components(found)
+    rows, joined = links(docs, id_col, text_col, params)
     parts = save(
         rows.filter("n > 0").groupBy("cid").agg(F.min("id").alias("rep"))
         .join(joined, F.col("cid") == F.col("node"), "left")

@@ -38,7 +38,7 @@ def save(df: DataFrame, what: str = "table") -> DataFrame:
     executor re-reads instead of running everything before it again."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

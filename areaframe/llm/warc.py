@@ -122,7 +122,7 @@ def _packed(data: bytes, level: int) -> bytes:
 
 
 def write_archives(
-    records: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes: int = 32 << 20, level: int = 6
+    records: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes: int = 32 << 20, level: int = 6
 ) -> DataFrame:
     """Writes what :func:`plan_records` gives to ``folder`` and returns the manifest.
 
@@ -171,13 +171,9 @@ def write_archives(
             yield close()
 
     columns = ["id", "url", "payload", "sha1", "refers_to"]
-    if records.schema["id"].dataType.simpleString() == "string":
-        order = ["id", "url"]
-    else:
-        order = ["id", "url"]
     sorted_rows = records.select(*columns, F.xxhash64("url").alias("_u")).repartitionByRange(
         int(shards), "id", "_u"
-    ).sortWithinPartitions(*order, "sha1").select(*columns)
+    ).sortWithinPartitions("id", "url", "sha1").select(*columns)
     manifest = save(sorted_rows.mapInArrow(task, MANIFEST), "manifest")
     return commit(manifest, folder)
 
