@@ -69,7 +69,7 @@ def lanes(bounds: np.ndarray, most: int) -> list[np.ndarray]:
         total, i = heap[0]
         dealt[i].append(d)
         heapq.heapreplace(heap, (total + int(sizes[d]), i))
-    out = [np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in own]) for own in dealt if own]
+    out = [np.concatenate([np.arange(bounds[d], bounds[d + 1], dtype=np.int32) for d in own]) for own in dealt if own]
     return sorted(out, key=len, reverse=True)
 
 
@@ -112,7 +112,7 @@ class Net:
         z = h @ p["Wc"] + p["bc"]
         z -= z.max(axis=1, keepdims=True)
         e = np.exp(z)
-        total = e.sum(axis=1, keepdims=True)
+        total = (e @ np.ones(e.shape[1], F32))[:, None]
         rows = np.arange(len(h))
         out = z[rows, classes] - np.log(total[:, 0])
         dh = None

@@ -74,13 +74,13 @@ class Vocabulary:
         totals = np.bincount(classes, count + 1, shape.classes)
         static = np.where(words < 0, np.log((count + 1) / totals[classes]), 0.0)
         rare_n, rare_v = n - count.sum(), v - size
-        totals[-1] = rare_n + rare_v + 1
+        totals[-1] = max(1, rare_n + rare_v + 1)
         inner = np.full((n_heads, per_class), 1e-9)
         inner[classes[:heads], words[:heads]] = count[:heads] + 1
         by = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
         return cls(
-            top["word"].to_numpy(np.int64).view(np.uint64)[by], inputs[by], classes[by], words[by], static[by],
-            np.log10(count + 1)[by], shape, float(totals[-1]), totals / totals.sum(), inner, n, v,
+            top["word"].to_numpy(np.int64).view(np.uint64)[by], inputs[by].astype(np.int16), classes[by].astype(np.int16),
+            words[by].astype(np.int16), static[by], np.log10(count + 1)[by], shape, float(totals[-1]), totals / totals.sum(), inner, n, v,
         )
 
     def first(self) -> dict[str, np.ndarray]:
@@ -99,8 +99,8 @@ class Vocabulary:
         rare_input, rare_class = self.rare
         return (
             Tokens(
-                np.where(hit, self.inputs[at], rare_input), np.where(hit, self.classes[at], rare_class),
-                np.where(hit, self.words[at], -1), bounds,
+                np.where(hit, self.inputs[at], np.int16(rare_input)), np.where(hit, self.classes[at], np.int16(rare_class)),
+                np.where(hit, self.words[at], np.int16(-1)), bounds,
             ), at, hit,
         )
 
@@ -187,17 +187,32 @@ def _averaged(models: DataFrame, fan: int = 64) -> bytes | None:
     return None if row is None else bytes(row["params"])
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[pd.DataFrame, int]:
+    """The commonest words, ``most`` at most, and the count from which a word is one of them.
+
+    A histogram of counts in steps of 1/64 of a power of two, some thousand rows, tells where to cut;
+    so no more than ``most`` rows ever leave the cluster. The end of a text is always there.
+    """
+    step = F.floor(F.log2("n") * 64).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).toPandas()
+    steps = steps.sort_values("step", ascending=False)
+    inside = steps[steps["words"].cumsum() < most]
+    least = int(inside["least"].min()) if len(inside) else 1 << 62
+    top = counts.filter((F.col("n") >= least) | (F.col("word") == END)).toPandas()
+    return top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True), least
+
+
 def train(
-    documents: DataFrame, text: str, kin: str, key: Column, listed: int = 1 << 17, learnt: int = 1024,
+    documents: DataFrame, text: str, kin: str, key: Column, listed: int = 1 << 18, learnt: int = 512,
     per_class: int = 32, hidden: int = 16, rate: float = 0.01,
 ) -> tuple[Vocabulary | None, bytes | None, DataFrame]:
-    """Vocabulary, parameters and the table of all word counts. Every document is learnt from once:
+    """Vocabulary, parameters and the counts of all words that are not listed. Every document is learnt from once:
     an eighth of them (by hash of ``key``) gives the common start of the others."""
     counts = save(word_counts(documents, text, kin), "counts")
     sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not sums[1]:
         return None, None, counts
-    top = counts.orderBy(F.desc("n"), "word").limit(listed).toPandas()
+    top, least = frequent(counts, listed)
     vocabulary = Vocabulary.of(top, int(sums[0]), int(sums[1]), learnt, per_class, hidden)
     packed = vocabulary.shape.pack(vocabulary.first())
     part = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(8))
@@ -206,7 +221,7 @@ def train(
             _train(vocabulary, packed, text, rate), "n bigint, params binary"
         )
         packed = _averaged(models) or packed
-    return vocabulary, packed, counts
+    return vocabulary, packed, counts.filter((F.col("n") < least) & (F.col("word") != END))
 
 
 SCORED = (
@@ -290,8 +305,7 @@ def score_documents(
         "scored",
     )
     # Counts of the words that no task has at hand. A first entry per row counts the rows of a key.
-    listed = counts.sparkSession.createDataFrame(pd.DataFrame({"word": vocabulary.hashes.view(np.int64)}))
-    rare_counts = counts.join(F.broadcast(listed), "word", "left_anti").select("word", "n")
+    rare_counts = counts.select("word", "n")
     long = scored.select("id", "th", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
         "id", "th", F.col("w.rare").alias("word"), F.col("w.times").alias("times")
     )
