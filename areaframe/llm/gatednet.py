@@ -169,7 +169,7 @@ class Net:
         grads["E"] = np.zeros_like(p["E"])
         grads["E"][flat[order][at]] = np.add.reduceat(rows[order], at, axis=0)
 
-    def score(self, tokens: Tokens, width: int = 1024, steps: int = 32) -> np.ndarray:
+    def score(self, tokens: Tokens, width: int = 1024, steps: int = 16) -> np.ndarray:
         """Natural log-probability of every token; states run on from window to window."""
         out = np.zeros(len(tokens.inputs))
         dealt = lanes(tokens.bounds, width)
@@ -190,7 +190,7 @@ class Net:
 class Trainer:
     """Adam over windows, one pass over what it is given."""
 
-    def __init__(self, net: Net, rate: float = 0.01, width: int = 1024, steps: int = 16):
+    def __init__(self, net: Net, rate: float = 0.01, width: int = 512, steps: int = 16):
         self.net, self.rate, self.width, self.steps = net, rate, width, steps
         self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in net.p.items()}
