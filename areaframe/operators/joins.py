@@ -40,7 +40,6 @@ def spread_join(
     right: DataFrame,
     key: str,
     how: str = "left",
-    salts: int = 256,
     hot_share: int = 1000,
     counts: DataFrame | None = None,
 ) -> DataFrame:
@@ -48,23 +47,18 @@ def spread_join(
     one row per key. The result is that of the plain join.
 
     A key is hot when it holds more than one part in ``hot_share`` of the left
-    rows, so there are fewer hot keys than that, and their list is broadcast. Rows
-    of a hot key are dealt to ``salts`` groups by a hash of the row (the same on
-    every attempt of a task), and only the hot rows of ``right`` are repeated to
-    meet them; all other rows join as they are. ``counts`` may bring ``_rows`` by
-    key from where it is cheaper to count, as long as they are no fewer.
+    rows, so there are fewer hot keys than that, and so are their rows on the
+    right: these are broadcast, and the hot rows of ``left`` are joined where they
+    lie, whatever they look like. All other rows are joined as they are. ``counts``
+    may bring ``_rows`` by key from where it is cheaper to count, as long as they are no fewer.
     """
     counts = summarise(left, key, _rows=rows()) if counts is None else counts
     limit = counts.agg(F.sum("_rows") / hot_share).scalar()
-    hot = counts.filter(F.col("_rows") > limit).select(key, F.lit(True).alias("_hot"))
-    names = [c for c in left.columns if c != key]
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
-    dealt = left.join(F.broadcast(hot), key, "left").select(
-        key, *[F.col(f"`{c}`") for c in names], F.when(F.col("_hot"), salt).otherwise(0).alias("_salt")
-    )
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(every))
-    return dealt.join(repeated.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    hot = F.broadcast(counts.filter(F.col("_rows") > limit).select(key))
+    beside = F.broadcast(right.join(hot, key, "left_semi"))
+    warm = left.join(hot, key, "left_semi").join(beside, key, how)
+    # Rows without a key are in no list of hot keys and stay with the others.
+    return warm.unionByName(left.join(hot, key, "left_anti").join(right, key, how))
 
 
 def left_onto(

@@ -113,7 +113,7 @@ def show_missing_and_equal_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"WITH {LABELLED} SELECT * FROM d WHERE doc_id IS NOT NULL AND lang IS NOT NULL "
+    f"WITH {LABELLED} SELECT * FROM d WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL "
     "AND source IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL"
 )
 def drop_any_missing(spark: SparkSession, folder: str) -> DataFrame:

@@ -293,7 +293,7 @@ def flag_share(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {LABELLED} SELECT "
     + ", ".join(
         f"count(*) FILTER (WHERE {c} IS NULL) AS {c}"
-        for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic")
+        for c in ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")
     )
     + " FROM d"
 )

@@ -58,11 +58,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their labels, missing for most: the tables' natural NULLs."""
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    return documents.drop("text").join(labels, "doc_id", "left")
+    return documents.join(labels, "doc_id", "left")
 
 
 # The same in SQL, for use as a common table expression.
 LABELLED = (
-    "d AS (SELECT documents.doc_id, lang, source, n_chars, quality, toxic "
+    "d AS (SELECT documents.doc_id, text, lang, source, n_chars, quality, toxic "
     "FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)"
 )

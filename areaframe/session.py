@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -36,27 +36,33 @@ def get_session(app: str = "areaframe", master: str | None = None, **settings: s
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: the one the cluster names, or the one the
-    session was given. Only a session without either (a test on one machine) gets
-    a temporary folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder all executors reach, where the cluster or the session names one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the files.
+    """``df`` for being read many times.
 
-    Iterative fits read their input many times; a lost executor then re-reads
-    files instead of re-running the joins behind them. The files are columnar, so
-    a pass that needs two columns reads two. They lie under the application's id
-    and can be removed with that folder once its results are written.
+    Where a shared folder is named, it is written there once and read from its files: a
+    lost executor re-reads them instead of re-running the joins behind them, and a pass
+    that needs two columns reads two. The files lie under the application's id;
+    :func:`clear_tables` removes them when results are written. Without a shared folder
+    it is persisted, which recomputes what an executor loses.
     """
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     application = df.sparkSession.sparkContext.applicationId
-    path = f"{shared_folder(df.sparkSession)}/{application}/table-{uuid.uuid4().hex}"
+    path = f"{folder}/{application}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Removes what :func:`cut_lineage` wrote or kept for this application."""
+    spark.catalog.clearCache()
+    folder = shared_folder(spark)
+    if folder is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,18 +13,22 @@ from ..operators.projection import select_positions
 from .schemas import SOURCES, TREE_COLUMNS, TREE_POSITIONS, SourceSpec
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with a header, every column as text, quotes doubled inside quotes.
 
-    Only the header is looked at here. Columns that no later step uses are
-    skipped by the parser. ``multi_line`` allows line breaks inside quotes at
-    the price of one task per file, so it is off unless asked for.
+    Only the header is looked at here. Line breaks inside quotes belong to their
+    field, at the price of one task per file; say ``multi_line=False`` for large
+    files that are known to have none. A record with more fields than the header
+    stops the job, so all columns are parsed.
     """
     return (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("mode", "FAILFAST")
+        .option("enforceSchema", False)
+        .option("columnPruning", False)
         .csv(path)
     )
 
@@ -41,13 +45,16 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
             c = tokens_to_null(F.trim(c)).cast("double")
         if isinstance(field.dataType, T.DoubleType):
             return nan_to_null(c.cast("double")).alias(field.name)
-        return nan_to_null(c.cast("double")).cast(field.dataType).alias(field.name)
+        number = nan_to_null(c.cast("double"))
+        broken = F.raise_error(F.concat(F.lit(f"{field.name} is not whole: "), number.cast("string")))
+        whole = F.when(number != F.floor(number), broken).otherwise(number)
+        return whole.cast(field.dataType).alias(field.name)
 
     return df.select(*[convert(field) for field in schema.fields])
 
 
 def read_source(
-    spark: SparkSession, path: str, spec: SourceSpec, form: str = "csv", multi_line: bool = False
+    spark: SparkSession, path: str, spec: SourceSpec, form: str = "csv", multi_line: bool = True
 ) -> DataFrame:
     """One source under our column names and types, by header name or position."""
     raw = read_csv(spark, path, multi_line) if form == "csv" else spark.read.format(form).load(path)
@@ -58,7 +65,7 @@ def read_source(
     return typed(named, spec.schema)
 
 
-def read_tree_census(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_tree_census(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Tree rows by position, for census files whose headers are not relied on."""
     raw = select_positions(read_csv(spark, path, multi_line), TREE_POSITIONS, TREE_COLUMNS)
     return typed(raw, T.StructType([T.StructField(name, T.StringType()) for name in TREE_COLUMNS]))
