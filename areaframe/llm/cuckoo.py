@@ -62,9 +62,9 @@ class CuckooFilter:
             slot = np.argsort(taken, axis=1, kind="stable")[index, np.minimum(rank, SLOTS - 1)]
             self.table[at[fits], slot[fits]] = prints[fits]
             prints, at, opens = prints[~fits], at[~fits], np.r_[True, at[~fits][1:] != at[~fits][:-1]][: (~fits).sum()]
-            if turn % 2 and len(prints):
+            if turn and len(prints):
                 # One key per full bucket takes the place of one that is there.
-                chosen, where = np.flatnonzero(opens), turn // 2 % SLOTS
+                chosen, where = np.flatnonzero(opens), turn % SLOTS
                 held = self.table[at[chosen], where].copy()
                 self.table[at[chosen], where] = prints[chosen]
                 prints[chosen] = held
