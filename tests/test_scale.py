@@ -107,7 +107,11 @@ def test_partial_sums_come_before_the_exchange(spark):
     assert physical.count("Exchange") == 1
 
 
-def test_cut_tables_lie_in_the_shared_folder(spark):
+def test_cut_tables_lie_in_the_shared_folder(spark, tmp_path):
+    if shared_folder(spark) is None:
+        kept = cut_lineage(hot(spark, 100))
+        assert kept.storageLevel.useDisk and rows(kept) == rows(hot(spark, 100))
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
     folder = Path(shared_folder(spark).removeprefix("file:")) / spark.sparkContext.applicationId
     before = set(folder.glob("table-*"))
     table = cut_lineage(hot(spark, 100))
