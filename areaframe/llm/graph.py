@@ -71,7 +71,7 @@ def _unsettled(edges: DataFrame) -> bool:
     return not seen.filter("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
-def components(edges: DataFrame, most_rounds: int = 100, chunk: int = 1 << 20) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100, chunk: int = 1 << 16) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for all nodes of ``edges``,
     a frame of two columns that can be ordered. Nodes without an edge are left out.
 
@@ -80,7 +80,8 @@ def components(edges: DataFrame, most_rounds: int = 100, chunk: int = 1 << 20) -
     keeps the components; repeated, they leave one star per component. Minima are
     taken with partial sums and written before they are joined back, so both sides of
     each join come straight from an exchange and a hub's rows can be split. Before each
-    round a task turns the edges it reads into stars, at most ``chunk`` at a time.
+    round a task turns the edges it reads into stars, at most ``chunk`` at a time, and
+    then the stars of as many tasks as hold ``chunk`` edges are put together in one.
     """
     first, second = edges.columns[:2]
     high, low = F.greatest(first, second), F.least(first, second)
@@ -89,8 +90,8 @@ def components(edges: DataFrame, most_rounds: int = 100, chunk: int = 1 << 20) -
     )
     for _ in range(most_rounds):
         current = save(_contracted(current, chunk), "stars")
-        if not _unsettled(current):
-            break
+        tasks = -(-current.count() // chunk)
+        current = save(_contracted(current.coalesce(max(1, tasks)), chunk), "stars")
         both = current.union(current.select("b", "a"))
         least = save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         wide = save(
@@ -99,6 +100,8 @@ def components(edges: DataFrame, most_rounds: int = 100, chunk: int = 1 << 20) -
         least = save(wide.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = wide.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = save(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        if not _unsettled(current):
+            break
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node")).distinct()
