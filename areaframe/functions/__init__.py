@@ -2,6 +2,7 @@
 
 from .keys import (
     as_text,
+    code_from_text,
     first_five_digits,
     key_from_number,
     key_from_text,
@@ -15,6 +16,7 @@ __all__ = [
     "MISSING_TOKENS",
     "as_text",
     "bucketize",
+    "code_from_text",
     "encode",
     "first_five_digits",
     "is_missing",

@@ -49,3 +49,11 @@ def key_from_text(c: Column | str, width: int = KEY_WIDTH) -> Column:
         .when(c.rlike(r"^\s*\d+(\.0*)?\s*$"), digits)
         .otherwise(c)
     )
+
+
+def code_from_text(c: Column | str, width: int = 1) -> Column:
+    """One spelling of a whole-number code: '1', '01' and '1.0' become '1', or '01'
+    at a ``width`` of two. Text that is no whole number is kept."""
+    c = as_column(c)
+    digits = F.regexp_extract(c, r"^\s*0*(\d+?)(\.0*)?\s*$", 1)
+    return F.when(c.rlike(r"^\s*\d+(\.0*)?\s*$"), zero_fill(digits, width)).otherwise(c)

@@ -55,10 +55,12 @@ def spread_join(
     counts = summarise(left, key, _rows=rows()) if counts is None else counts
     limit = counts.agg(F.sum("_rows") / hot_share).scalar()
     hot = F.broadcast(counts.filter(F.col("_rows") > limit).select(key))
-    beside = F.broadcast(right.join(hot, key, "left_semi"))
-    warm = left.join(hot, key, "left_semi").join(beside, key, how)
-    # Rows without a key are in no list of hot keys and stay with the others.
-    return warm.unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+    beside = F.broadcast(right.join(hot, key))
+    # Marked, not split by semi joins: those would be pushed below a grouping in ``left``, whose
+    # exchange the two parts could then not share. Rows without a key stay with the others.
+    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    warm = marked.filter("_hot").drop("_hot").join(beside, key, how)
+    return warm.unionByName(marked.filter("_hot IS NULL").drop("_hot").join(right, key, how))
 
 
 def left_onto(
@@ -112,12 +114,13 @@ def bridge_counts(
     per target. The rows of the product are never made: both sides are counted
     first and the counts multiplied. A key that holds a third of the items is one
     row by then; one that holds a third of the links has a row per target, which
-    the join spreads. Which keys those may be is told by the bridge's own rows.
-    Items that match nothing have no target.
+    the join spreads. Which keys those are is told by these rows themselves, an
+    exchange that the plan has already. Items that match nothing have no target.
     """
     per_item = summarise(items, on, _items=rows())
     per_link = summarise(bridge, [on, target], _links=F.lit(1) if distinct else rows())
-    per_key = summarise(bridge, on, _rows=rows())
+    # Counted over ``_links`` so that the plan of ``per_link`` is the same everywhere and read once.
+    per_key = summarise(per_link, on, _rows=F.count_if(F.col("_links") > 0))
     pairs = spread_join(per_link, per_item, on, "inner", counts=per_key)
     return pairs.groupBy(target).agg(F.sum(F.col("_items") * F.col("_links")).alias(name))
 

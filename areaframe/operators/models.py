@@ -94,9 +94,19 @@ def margins(model: OneVsRestModel, df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.array(*arrays)).drop(*columns)
 
 
-def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def predict(
+    model: PipelineModel,
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    classes: int | None = None,
+) -> DataFrame:
     """Adds ``label``, ``prediction`` and ``scores``, an array with one per class
-    that sums to 1. One-vs-rest models give margins, which softmax brings there."""
+    that sums to 1. One-vs-rest models give margins, which softmax brings there.
+
+    A model knows the classes up to the largest of its training rows; of ``classes``
+    in all, the others score 0.
+    """
     named = as_doubles(df, features, label)
     if isinstance(model.stages[-1], OneVsRestModel):
         filled = PipelineModel(model.stages[:-1]).transform(named)
@@ -108,6 +118,10 @@ def predict(model: PipelineModel, df: DataFrame, features: Sequence[str], label:
         scored = model.transform(named).withColumns(
             {"scores": vector_to_array("probability"), "prediction": F.col("prediction").cast("int")}
         )
+    if classes is not None:
+        absent = F.greatest(F.lit(classes) - F.size("scores"), F.lit(0))
+        full = F.concat("scores", F.array_repeat(F.lit(0.0), absent))
+        scored = scored.withColumn("scores", full)
     extra = {"probability", "rawPrediction", "features", *[f"{f}_filled" for f in features]}
     return scored.withColumn("label", F.col("label").cast("int")).drop(*extra)
 

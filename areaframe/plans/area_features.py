@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bucketize, parse_number, ratio, round_half_even, strip_prefix, zero_fill
+from ..functions import (
+    bucketize,
+    code_from_text,
+    parse_number,
+    ratio,
+    round_half_even,
+    strip_prefix,
+    zero_fill,
+)
 from ..operators.aggregates import mean, summarise, summarise_with_modes, total, total_per_row
 from ..operators.filters import drop_incomplete, keep_matching
 from ..operators.joins import Branch, assemble, bridge_counts
@@ -76,8 +84,8 @@ def parcel_totals(sources: Sources) -> DataFrame:
 
 def garden_counts(sources: Sources, distinct: bool) -> DataFrame:
     return bridge_counts(
-        sources["gardens"],
-        keyed_parcels(sources["parcels"]),
+        sources["gardens"].withColumn("block", code_from_text("block")),
+        keyed_parcels(sources["parcels"]).withColumn("block", code_from_text("block")),
         "block",
         KEY,
         "num_community_gardens",

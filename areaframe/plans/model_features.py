@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import encode, parse_number
+from ..functions import code_from_text, encode, parse_number
 from ..operators.aggregates import (
     histogram,
     mean,
@@ -81,8 +81,10 @@ def energy_measures(sources: Sources, year: int) -> DataFrame:
 
 
 def used_parcels(sources: Sources) -> DataFrame:
-    """Lots with a land use, without the ignored one."""
-    lots = drop_incomplete(sources["parcels"], ["landuse"])
+    """Lots with a land use, in one spelling of its code, without the ignored one."""
+    lots = drop_incomplete(sources["parcels"], ["landuse"]).withColumns(
+        {"landuse": code_from_text("landuse", 2), "block": code_from_text("block")}
+    )
     return keyed_parcels(exclude_values(lots, "landuse", IGNORED_LAND_USE))
 
 
@@ -115,7 +117,12 @@ def model_features(
 ) -> DataFrame:
     parcels = used_parcels(sources)
     gardens = bridge_counts(
-        sources["gardens"], parcels, "block", KEY, "num_community_gardens", distinct_gardens
+        sources["gardens"].withColumn("block", code_from_text("block")),
+        parcels,
+        "block",
+        KEY,
+        "num_community_gardens",
+        distinct_gardens,
     )
     wide = assemble(
         spine(sources),

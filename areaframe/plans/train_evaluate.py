@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import rows
 from ..operators.features import (
     TRAIN,
     VALIDATION,
@@ -15,7 +16,7 @@ from ..operators.features import (
     fit_scaling,
     stratified_split,
 )
-from ..operators.metrics import accuracy_of, log_loss_of, one_vs_rest_auc
+from ..operators.metrics import accuracy_of, confusion, log_loss_of, one_vs_rest_auc
 from ..operators.models import fit_boosted_trees, fit_neural_net, predict
 from ..operators.projection import shift
 from ..session import cut_lineage
@@ -54,38 +55,57 @@ def evaluate(
     prepared: DataFrame,
     features: Sequence[str],
     target: str = TARGET,
+    classes: Sequence[int] = CLASSES,
 ) -> DataFrame:
-    """Long table of measures: overall ones without a class, AUC also per class.
+    """Long table of measures: overall ones without a class, AUC also per class,
+    and the confusion matrix of held-out rows by class and predicted class. The
+    numbers of rows behind the measures stand beside them: a net skips rows that
+    miss a feature.
 
-    Rows are scored once per part of the split. What a part yields is one row per
-    class at most, so its measures are put together in one row and then listed.
+    Held-out rows are scored once and their scores written. What a part yields is
+    one row per class at most, so its measures are put together in one row and then listed.
     """
 
     def scored(part: str) -> DataFrame:
-        return predict(model, prepared.filter(F.col("split") == part), features, target)
+        rows_of = prepared.filter(F.col("split") == part)
+        return predict(model, rows_of, features, target, max(classes) + 1)
 
-    def entry(metric: str, value: Column, class_: Column | None = None) -> Column:
+    def entry(
+        metric: str, value: Column, class_: Column | None = None, predicted: Column | None = None
+    ) -> Column:
         return F.struct(
             F.lit(metric).alias("metric"),
             (F.lit(None) if class_ is None else class_).cast("int").alias("class"),
-            value.alias("value"),
+            (F.lit(None) if predicted is None else predicted).cast("int").alias("predicted"),
+            value.cast("double").alias("value"),
         )
 
     right = accuracy_of("label", "prediction")
     trained = scored(TRAIN).agg(
         F.array(
-            entry("train_accuracy", right), entry("train_log_loss", log_loss_of("label", "scores"))
+            entry("train_rows", rows()),
+            entry("train_accuracy", right),
+            entry("train_log_loss", log_loss_of("label", "scores")),
+        ).alias("entries")
+    )
+    held_out = cut_lineage(scored(VALIDATION).select("label", "prediction", "scores"))
+    overall = held_out.agg(F.array(entry("rows", rows()), entry("accuracy", right)).alias("entries"))
+    matrix = confusion(held_out, "label", "prediction", classes)
+    by_pair = matrix.select(
+        F.array(
+            *[
+                entry("confusion", F.col(f"predicted_{c}"), F.col("label"), F.lit(c))
+                for c in classes
+            ]
         ).alias("entries")
     )
-    held_out = scored(VALIDATION)
-    overall = held_out.agg(F.array(entry("accuracy", right)).alias("entries"))
     by_class = one_vs_rest_auc(held_out, "label", "scores").agg(
         F.concat(
             F.collect_list(entry("auc", F.col("auc"), F.col("class"))),
             F.array(entry("macro_auc", F.avg("auc"))),
         ).alias("entries")
     )
-    entries = trained.unionByName(overall).unionByName(by_class)
+    entries = trained.unionByName(overall).unionByName(by_class).unionByName(by_pair)
     return entries.select(F.lit(name).alias("model"), F.inline("entries"))
 
 
@@ -106,6 +126,8 @@ def train_and_evaluate(
     net = fit_neural_net(
         train, names, TARGET, len(classes), steps=steps, solver=solver, seed=seed
     )
-    return evaluate("boosted_trees", trees, prepared, names).unionByName(
-        evaluate("neural_net", net, prepared, names)
-    )
+    judged = [
+        evaluate(name, model, prepared, names, classes=classes)
+        for name, model in (("boosted_trees", trees), ("neural_net", net))
+    ]
+    return judged[0].unionByName(judged[1])

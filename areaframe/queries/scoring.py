@@ -29,7 +29,6 @@ from ..session import cut_lineage
 from .registry import LABELLED, labelled_documents, query, table
 
 CLASSES = tuple(range(10))
-WIDTH = 64
 SEED = 5353456
 
 
@@ -234,16 +233,19 @@ def drop_incomplete_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embedding_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
-    """Split once and kept as files for the fits, then one column per element."""
-    names = [f"e{i}" for i in range(WIDTH)]
-    parts = stratified_split(table(spark, folder, "embeddings"), "vec_id", "label", CLASSES, SEED)
-    elements = [F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(names)]
-    return cut_lineage(parts).select("vec_id", "label", "split", *elements), names
+    """Split once and kept as files for the fits, then one column per element of the
+    widest vector. What a narrower one lacks is missing, as in any other feature."""
+    split = stratified_split(table(spark, folder, "embeddings"), "vec_id", "label", CLASSES, SEED)
+    parts = cut_lineage(split)
+    width = parts.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"e{i}" for i in range(width)]
+    elements = [F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]
+    return parts.select("vec_id", "label", "split", *elements), names
 
 
 def held_out_scores(model, parts: DataFrame, names: list[str]) -> DataFrame:
     held_out = parts.filter(F.col("split") == VALIDATION)
-    scored = predict(model, held_out, names, "label")
+    scored = predict(model, held_out, names, "label", len(CLASSES))
     return scored.select("vec_id", "label", "prediction", "scores")
 
 

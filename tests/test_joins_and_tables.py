@@ -4,6 +4,8 @@ import random
 
 from conftest import rows
 
+from pyspark.sql import functions as F
+
 from areaframe.operators.aggregates import (
     contingency,
     contingency_shares,
@@ -12,6 +14,7 @@ from areaframe.operators.aggregates import (
     top_column,
     value_counts,
 )
+from areaframe.functions import code_from_text
 from areaframe.operators.joins import bridge_counts, lookup_counts, outer_align
 from areaframe.operators.projection import select_positions, set_names
 
@@ -105,3 +108,27 @@ def test_hot_key_keeps_results_whole(spark):
     left = {r[0]: r[1] for r in items.groupBy("on").count().collect()}
     right = {r[0]: r[1] for r in links.groupBy("on").count().collect()}
     assert total == sum(left[k] * right[k] for k in left if k in right)
+
+
+def test_bridge_counts_read_each_side_once(spark, tiny):
+    orders = spark.read.parquet(f"{tiny}/orders.parquet").select(F.col("o_orderkey").alias("on"))
+    lines = spark.read.parquet(f"{tiny}/lineitem.parquet")
+    links = lines.select(F.col("l_orderkey").alias("on"), F.col("l_suppkey").alias("zip"))
+    got = bridge_counts(orders, links, "on", "zip", "n")
+    got.collect()
+    final, skipped = [], None
+    for line in got._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :"))
+        if skipped is None or depth <= skipped:
+            skipped = depth if "== Initial Plan ==" in line else None
+            final.append(line)
+    scans = [line for line in final if "FileScan" in line]
+    assert len(scans) == 2, "\n".join(final)
+
+
+def test_codes_have_one_spelling(spark):
+    spelled = ["1", "01", "1.0", " 001. ", "0", "00", "100", "1.5", "A1", "", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(spelled)], "i int, c string")
+    got = df.select("i", code_from_text("c").alias("a"), code_from_text("c", 2).alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == ["1", "1", "1", "1", "0", "0", "100", "1.5", "A1", "", None]
+    assert [r.b for r in got] == ["01", "01", "01", "01", "00", "00", "100", "1.5", "A1", "", None]

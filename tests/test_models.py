@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from areaframe.operators.metrics import log_loss_of
 from areaframe.operators.models import (
     as_doubles,
     fit_boosted_trees,
@@ -30,12 +31,21 @@ def features(spark):
 
 def test_train_and_evaluate(features):
     got = train_and_evaluate(features, classes=(0, 1, 2), rounds=3, steps=40, solver="l-bfgs")
-    table = {(r["model"], r["metric"], r["class"]): r["value"] for r in got.collect()}
+    listed = got.collect()
+    table = {(r["model"], r["metric"], r["class"]): r["value"] for r in listed if r["predicted"] is None}
     for model in ("boosted_trees", "neural_net"):
         assert {k[1:] for k in table if k[0] == model} == {
             ("accuracy", None), ("train_accuracy", None), ("train_log_loss", None),
-            ("macro_auc", None), ("auc", 0), ("auc", 1), ("auc", 2),
+            ("macro_auc", None), ("auc", 0), ("auc", 1), ("auc", 2), ("rows", None), ("train_rows", None),
         }
+        matrix = {
+            (r["class"], r["predicted"]): r["value"]
+            for r in listed if r["model"] == model and r["metric"] == "confusion"
+        }
+        assert set(matrix) == {(a, b) for a in range(3) for b in range(3)}
+        held_out = table[model, "rows", None]
+        assert sum(matrix.values()) == held_out
+        assert sum(matrix[c, c] for c in range(3)) / held_out == pytest.approx(table[model, "accuracy", None])
         assert table[model, "accuracy", None] > 0.9
         assert table[model, "macro_auc", None] > 0.95
         mean = sum(table[model, "auc", c] for c in range(3)) / 3
@@ -53,6 +63,16 @@ def test_descent_lowers_the_loss_and_skips_missing(features):
     assert abs(scored.select(F.expr("aggregate(scores, 0D, (a, x) -> a + x)")).first()[0] - 1) < 1e-9
 
 
+@pytest.mark.parametrize("fit", [fit_boosted_trees, fit_neural_net])
+def test_a_class_without_training_rows_scores_zero(features, fit):
+    rows = features.withColumn("hvi", F.col("hvi") - 1).filter("share IS NOT NULL")
+    own = {"rounds": 2} if fit is fit_boosted_trees else {"classes": 2, "steps": 20}
+    model = fit(rows.filter("hvi < 2"), ["income", "share"], "hvi", seed=1, **own)
+    scored = predict(model, rows, ["income", "share"], "hvi", classes=3)
+    assert scored.filter("size(scores) != 3 OR scores[2] != 0").isEmpty()
+    assert scored.filter("hvi = 2").agg(log_loss_of("label", "scores")).first()[0] > 10
+
+
 def test_prepared_table(features):
     prepared = prepare_features(features, classes=(0, 1, 2))
     assert prepared.columns == [*features.columns, "split"]
