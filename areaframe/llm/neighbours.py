@@ -3,13 +3,17 @@
 Vectors of one label are compared by cosine. Exact copies are one node. Each node keeps a
 list of its nearest nodes so far; a round joins every node's neighbours with each other
 (neighbours of neighbours), in both directions. Lists that are all links are saturated and
-grow. Recall is audited against brute force on a bounded set of nodes, and rounds go on
-until it is reached. Links then tie nodes to components, and each component's links
-are counted block by block, so that a large group needs no list of all its pairs.
+grow. Links then tie nodes to components. A component larger than a list may hide its links
+to others, since its nodes list each other: such components are compared with each other
+exactly, in balls whose distance rules most of them out. Recall is audited against brute force on
+a bounded set of nodes; while it is short, fresh orders and rounds go on, and a warning tells
+when they do not reach it. Each component's links are counted block by block, so that a large
+group needs no list of all its pairs.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +29,8 @@ from .shared import runs, save
 @dataclass(frozen=True)
 class Descent:
     """``least``: cosine of a link. ``listed``: length of a neighbour list; ``trees`` random
-    hyperplane orders start it. ``audited``: nodes compared with all others for ``recall``."""
+    hyperplane orders start it. ``audited``: nodes compared with all others for ``recall``; ``more``: how
+    often fresh orders are added while it is short."""
 
     least: float = 0.93
     listed: int = 8
@@ -35,6 +40,7 @@ class Descent:
     audited: int = 200
     recall: float = 0.99
     block: int = 256
+    more: int = 3
 
 
 def _units(column: pa.ChunkedArray) -> np.ndarray:
@@ -106,8 +112,8 @@ def _best_within(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray,
     return np.repeat(ids, keep), ids[at].ravel(), np.take_along_axis(cos, at, 1).ravel()
 
 
-def _start(nodes: DataFrame, p: Descent) -> DataFrame:
-    """First lists: in each random hyperplane order of a space, companies of nodes side by side."""
+def _start(nodes: DataFrame, p: Descent, since: int = 0) -> DataFrame:
+    """First lists, by the orders from number ``since``: in each random hyperplane order of a space, companies of nodes side by side."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "space"):
@@ -143,8 +149,8 @@ def _start(nodes: DataFrame, p: Descent) -> DataFrame:
             "node", "space", "unit"
         ).mapInArrow(task, "u bigint, v bigint, cos double")
 
-    pairs = coded(0)
-    for tree in range(1, p.trees):
+    pairs = coded(since)
+    for tree in range(since + 1, since + p.trees):
         pairs = pairs.union(coded(tree))
     return pairs
 
@@ -207,6 +213,125 @@ def _audit(nodes: DataFrame, p: Descent) -> DataFrame:
     return nodes.select("node", "space", "unit").mapInArrow(task, "u bigint, v bigint")
 
 
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Middle and radius, an angle, of the vectors of each ball."""
+    for table in runs(batches, "ball"):
+        balls, spaces, parts = (table[c].to_numpy() for c in ("ball", "space", "part"))
+        cuts = np.flatnonzero(balls[1:] != balls[:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        middles, radii = [], []
+        for s, e in zip(starts, [*starts[1:], len(balls)]):
+            x = _units(table["unit"].slice(s, e - s))
+            middle = x.sum(axis=0)
+            length = np.sqrt((middle * middle).sum())
+            middle = middle / length if length > 1e-9 else x[0]
+            middles.append(middle.tobytes())
+            radii.append(float(np.arccos(np.clip(x @ middle, -1, 1)).max()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(balls[starts]), pa.array(spaces[starts]), pa.array(parts[starts]), pa.array(radii), pa.array(middles, pa.binary())],
+            names=["ball", "space", "part", "radius", "unit"],
+        )
+
+
+def _visits(p: Descent):
+    """Which nodes may link into which ball of another component. Of two balls the wider one's nodes visit."""
+    reach = float(np.arccos(p.least)) + 1e-6
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "unit_id"):
+            groups = table["unit_id"].to_numpy()
+            cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
+            side, node, ball, part, radius = (table[c].to_numpy() for c in ("side", "node", "ball", "part", "radius"))
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(groups)]):
+                a, b = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+                if not len(a) or not len(b):
+                    continue
+                x = _units(table["unit"].slice(s, e - s))
+                angle = np.arccos(np.clip(x[a - s] @ x[b - s].T, -1, 1))
+                wider = (radius[a][:, None] > radius[b]) | ((radius[a][:, None] == radius[b]) & (ball[a][:, None] > ball[b]))
+                i, j = np.nonzero(wider & (part[a][:, None] != part[b]) & (angle <= reach + radius[b]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[a][i]), pa.array(ball[a][i]), pa.array(ball[b][j])], names=["node", "ball", "host"]
+                )
+
+    return task
+
+
+def _bridge(p: Descent):
+    """The closest pair of a ball's visitors from another ball and its own nodes, if it is a link."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "unit_id"):
+            groups = table["unit_id"].to_numpy()
+            cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
+            side, node = table["side"].to_numpy(), table["node"].to_numpy()
+            u, v = [], []
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(groups)]):
+                asks, told = np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
+                x = _units(table["unit"].slice(s, e - s))
+                cos = x[asks] @ x[told].T
+                if cos.size and cos.max() >= p.least:
+                    i, j = np.unravel_index(cos.argmax(), cos.shape)
+                    u.append(node[s + asks[i]])
+                    v.append(node[s + told[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return task
+
+
+def _bridges(nodes: DataFrame, parts: DataFrame, p: Descent) -> DataFrame:
+    """A link (u, v) for every two balls of different components that have one, among the components of more
+    nodes than a list holds: a smaller one's nodes have room for others in their lists. Exact; what one task
+    holds is bounded by blocks, however large spaces and components are."""
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > p.listed)
+    held = parts.select("node", "part").join(sizes, "part").join(nodes.select("node", "space", "unit"), "node")
+    # A space with one such component has nothing to compare.
+    several = held.groupBy("space").agg(F.countDistinct("part").alias("_p"), F.count(F.lit(1)).alias("_s")).filter("_p > 1")
+    blocks = F.ceil(F.col("_n") / p.block).cast("bigint")
+    held = save(
+        held.join(several, "space").withColumn("ball", F.xxhash64("part", F.pmod(F.xxhash64("node", F.lit(43)), blocks)))
+        .select("node", "space", "part", "ball", "unit", F.ceil(F.col("_s") / 1024).cast("int").alias("cuts")),
+        "held",
+    )
+    balls = save(
+        held.select("ball", "space", "part", "unit").repartition("ball").sortWithinPartitions("ball")
+        .mapInArrow(_balls, "ball bigint, space bigint, part bigint, radius double, unit binary"),
+        "balls",
+    )
+    cuts = held.groupBy("space").agg(F.first("cuts").alias("cuts"))
+    ball_cuts = balls.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / 1024).cast("int").alias("ball_cuts"))
+    grid = cuts.join(ball_cuts, "space")
+    i = F.pmod(F.xxhash64("node", F.lit(47)), F.col("cuts")).cast("int")
+    j = F.pmod(F.xxhash64("ball", F.lit(47)), F.col("ball_cuts")).cast("int")
+    asks = (
+        held.join(balls.select("ball", "radius"), "ball").drop("cuts").join(grid, "space").withColumn("i", i)
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ball_cuts") - 1)))
+        .select(F.xxhash64("space", "i", "j").alias("unit_id"), F.lit(0).alias("side"), "node", "ball", "part", "radius", "unit")
+    )
+    told = (
+        balls.join(grid, "space").withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        .select(
+            F.xxhash64("space", "i", "j").alias("unit_id"), F.lit(1).alias("side"), F.col("ball").alias("node"),
+            "ball", "part", "radius", "unit",
+        )
+    )
+    visits = save(
+        asks.union(told).repartition("unit_id").sortWithinPartitions("unit_id", "side", "node")
+        .mapInArrow(_visits(p), "node bigint, ball bigint, host bigint"),
+        "visits",
+    )
+    unit_id = F.xxhash64("ball", "host").alias("unit_id")
+    guests = visits.select(unit_id, F.lit(0).alias("side"), "node").join(held.select("node", "unit"), "node")
+    hosts = visits.select("ball", "host").distinct().select(unit_id, F.lit(1).alias("side"), "host").join(
+        held.select(F.col("ball").alias("host"), "node", "unit"), "host"
+    )
+    columns = ["unit_id", "side", "node", "unit"]
+    return (
+        guests.select(columns).union(hosts.select(columns)).repartition("unit_id").sortWithinPartitions("unit_id", "side", "node")
+        .mapInArrow(_bridge(p), "u bigint, v bigint")
+    )
+
+
 def _counted(p: Descent):
     """Links between two blocks of one component: per node how many vectors it links there."""
 
@@ -244,43 +369,58 @@ def near_vectors(
     links = save(lists.filter(F.col("cos") >= p.least).select("u", "v"), "links")
     truth = save(_audit(nodes, p), "audit")
     wanted = truth.count()
-    for turn in range(p.rounds):
-        met = save(_round(lists, nodes, p), "met")
-        grown = lists.groupBy("u").agg((F.min("cos") >= p.least).alias("full"))
-        new = _top(lists.union(met), p.longest).join(grown, "u", "left")
-        # A saturated list may be longer; the others keep their best.
-        rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("cos"), "v"))
-        new = save(
-            new.withColumn("_r", rank).filter((F.col("_r") <= p.listed) | F.coalesce("full", F.lit(False)))
-            .select("u", "v", "cos"), "lists",
-        )
-        links = save(
-            links.union(new.filter(F.col("cos") >= p.least).select("u", "v"))
-            .union(met.filter(F.col("cos") >= p.least).select("u", "v")).distinct(), "links",
+
+    def tied() -> DataFrame:
+        return save(
+            nodes.select("node", "copies", "first").join(components(links), "node", "left")
+            .withColumn("part", F.coalesce("component", "node")).drop("component"), "parts",
         )
-        changed = new.join(lists.select("u", "v"), ["u", "v"], "left_anti").count()
-        total = new.count()
-        lists = new
-        report["rounds"] = turn + 1
-        if changed <= 0.02 * total:
+
+    for more in range(p.more + 1):
+        if more:
+            fresh = _start(nodes, p, more * p.trees)
+            links = save(links.union(fresh.filter(F.col("cos") >= p.least).select("u", "v")).distinct(), "links")
+            lists = save(_top(lists.union(fresh), p.longest), "lists")
+        for _ in range(p.rounds):
+            met = save(_round(lists, nodes, p), "met")
+            grown = lists.groupBy("u").agg((F.min("cos") >= p.least).alias("full"))
+            new = _top(lists.union(met), p.longest).join(grown, "u", "left")
+            # A saturated list may be longer; the others keep their best.
+            rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("cos"), "v"))
+            new = save(
+                new.withColumn("_r", rank).filter((F.col("_r") <= p.listed) | F.coalesce("full", F.lit(False)))
+                .select("u", "v", "cos"), "lists",
+            )
+            links = save(
+                links.union(new.filter(F.col("cos") >= p.least).select("u", "v"))
+                .union(met.filter(F.col("cos") >= p.least).select("u", "v")).distinct(), "links",
+            )
+            changed = new.join(lists.select("u", "v"), ["u", "v"], "left_anti").count()
+            total = new.count()
+            lists = new
+            report["rounds"] += 1
+            if changed <= 0.02 * total:
+                break
+        parts = tied()
+        bridges = save(_bridges(nodes, parts, p), "bridges")
+        if bridges.count():
+            links = save(links.union(bridges), "links")
+            parts = tied()
+        if not wanted:
             break
-    parts = save(
-        nodes.select("node", "copies", "first").join(components(links), "node", "left")
-        .withColumn("part", F.coalesce("component", "node")).drop("component"), "parts",
-    )
-    if wanted:
         ends = parts.select("node", "part")
         joined = truth.join(ends, truth["u"] == ends["node"]).select("u", "v", F.col("part").alias("pu")).join(
             ends, F.col("v") == ends["node"]
         )
         report["recall"] = joined.filter("pu = part").count() / wanted
-        if report["recall"] < 1:
-            # What the audit found is true as well.
-            links = save(links.union(truth), "links")
-            parts = save(
-                nodes.select("node", "copies", "first").join(components(links), "node", "left")
-                .withColumn("part", F.coalesce("component", "node")).drop("component"), "parts",
-            )
+        if report["recall"] >= p.recall:
+            break
+    if report["recall"] < p.recall:
+        warnings.warn(f"near_vectors: audited recall {report['recall']:.4f} is below {p.recall}", stacklevel=2)
+    if report["recall"] < 1:
+        # What the audit found is true as well.
+        links = save(links.union(truth), "links")
+        parts = tied()
     sizes = save(
         parts.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.min("first").alias("component_id")), "sizes"
     )

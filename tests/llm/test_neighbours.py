@@ -64,3 +64,20 @@ def test_repeated_and_missing_ids_clashing_columns_and_no_rows(spark):
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in near_vectors(frame)[0].collect())
     assert got == [("4", 2, "4", True), ("4", 2, "4", True), ("None", 0, "None", True), ("None", 2, "4", False)]
     assert near_vectors(frame.limit(0))[0].collect() == []
+
+
+@pytest.mark.parametrize("block", [16, 256])
+def test_clumps_larger_than_a_list_that_only_weaker_links_join(spark, block):
+    rng = np.random.default_rng(11)
+    axes, rows = np.linalg.qr(rng.standard_normal((24, 24)))[0], []
+    # Clumps of 60 within 0.99; clumps 2k and 2k + 1 at 0.94, the others apart.
+    for k in range(4):
+        for turned in (0.0, np.arccos(0.94)):
+            middle = np.cos(turned) * axes[2 * k] + np.sin(turned) * axes[2 * k + 1]
+            rows += [((middle + 0.004 * rng.standard_normal(24)).tolist(), 1) for _ in range(60)]
+    rows = [(i, v, label) for i, (v, label) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(5)
+    found, report = near_vectors(frame, params=Descent(block=block, audited=0))
+    listed = found.collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in listed} == plain(rows)
+    assert len({r.component_id for r in listed}) == 4
