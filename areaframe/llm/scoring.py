@@ -203,7 +203,7 @@ def frequent(counts: DataFrame, most: int) -> tuple[pd.DataFrame, int]:
 
 
 def train(
-    documents: DataFrame, text: str, kin: str, key: Column, listed: int = 1 << 18, learnt: int = 512,
+    documents: DataFrame, text: str, kin: str, key: Column, listed: int = 1 << 18, learnt: int = 1024,
     per_class: int = 32, hidden: int = 16, rate: float = 0.01,
 ) -> tuple[Vocabulary | None, bytes | None, DataFrame]:
     """Vocabulary, parameters and the counts of all words that are not listed. Every document is learnt from once:

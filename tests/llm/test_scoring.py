@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from areaframe.llm.gatednet import Net, Shape, Tokens, Trainer
-from areaframe.llm.scoring import score_documents
+from areaframe.llm.scoring import score_documents, train
 
 from .reference import lower, words
 
@@ -78,3 +78,9 @@ def test_model_learns_and_sums_to_one():
     every = np.arange(7)
     logs = net.log_probabilities(h, every // 3, np.where(every < 6, every % 3, -1), None)
     assert abs(np.exp(logs).sum() - 1) < 1e-5
+
+
+def test_learns_weights_for_1024_words(spark):
+    frame = spark.createDataFrame([(" ".join(f"w{i}" for i in range(1500)), 0)], "text string, kin int")
+    vocabulary = train(frame, "text", "kin", F.lit(1))[0]
+    assert (vocabulary.words >= 0).sum() == 1024
