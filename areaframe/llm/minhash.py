@@ -130,7 +130,7 @@ def _full_sets(text: str, p: MinHash):
 
 def _links(p: MinHash):
     """Links inside each unit of work: enough to join all that is joined there. Rows
-    bring ``part``, the component known before (-1: none)."""
+    bring ``part``, the component known before (none: the class itself)."""
 
     def solve(t: pa.Table) -> tuple[list, list]:
         order = np.argsort(t["n"].to_numpy(), kind="stable")
@@ -143,7 +143,7 @@ def _links(p: MinHash):
         root = np.arange(len(ids))
         first: dict[int, int] = {}
         for i, part in enumerate(t["part"].to_numpy().tolist()):
-            root[i] = first.setdefault(part, i) if part >= 0 else i
+            root[i] = first.setdefault(part, i)
 
         a, b = [], []
         within = sides.max() == 0
@@ -254,7 +254,7 @@ def links(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> tuple[Data
 
 
 def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
-    none = F.lit(-1).cast("bigint").alias("part")
+    none = F.col("cid").alias("part")
     whole = sets.filter("blocks = 1").select(
         _unit("grp").alias("unit"), F.lit(0).alias("side"), "cid", none, "n", "items", "signature"
     )

@@ -1,5 +1,8 @@
+import numpy as np
+import pyarrow as pa
 import random
 
+from areaframe.llm import minhash
 from areaframe.llm.minhash import MinHash, near_duplicates
 
 from .reference import near_duplicate_components
@@ -50,3 +53,14 @@ def test_five_words_and_odd_rows(spark):
         ("1", 1, True), ("1", 1, True), ("7", 7, True), ("None", 1, False), ("None", None, True)
     ]
     assert near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_known_components_of_negative_name_are_not_compared_again():
+    items = np.arange(9, dtype=np.uint64).tobytes()
+    batch = pa.RecordBatch.from_pydict({
+        "unit": pa.array([1] * 3, pa.int64()), "side": pa.array([0] * 3, pa.int32()), "cid": pa.array([-7, 3, 5], pa.int64()),
+        "part": pa.array([-7, -7, 5], pa.int64()), "n": pa.array([9] * 3, pa.int64()), "items": pa.array([items] * 3, pa.binary()),
+        "signature": pa.array([np.zeros(4, np.uint16).tobytes()] * 3, pa.binary()),
+    })
+    found = [(r["a"], r["b"]) for out in minhash._links(minhash.MinHash())(iter([batch])) for r in out.to_pylist()]
+    assert found == [(-7, 5)]
