@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .chat import round_trip
 from .lines import dedup_lines
 from .minhash import MinHash, near_duplicates
@@ -98,6 +99,14 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), params=MinHash(shingle=2))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = align(table(spark, folder, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
+    )
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -187,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_mixing, op3_chat, op4_token_counts, op5_lm_scoring, op6_sentencepiece, op7_quality_rules,
-        op8_embedding_near_dedup, op9_line_dedup, op10_minhash_near_dedup,
+        op8_embedding_near_dedup, op9_line_dedup, op10_minhash_near_dedup, op11_tokenizer_alignment,
     )
 }
 ORACLES = {
