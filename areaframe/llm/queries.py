@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .alignment import align
 from .chat import round_trip
+from .divergence import audit
 from .lines import dedup_lines
 from .minhash import MinHash, near_duplicates
 from .mixing import mix_sources, with_sizes
@@ -107,6 +108,10 @@ def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -192,11 +197,40 @@ SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS com
 FROM r LEFT JOIN n ON r.a = n.doc_id GROUP BY r.a
 """
 
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({LOWER.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+m AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+s AS (
+  SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (m.total + 2 * terms) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 2)) // (v.total + 2 * terms) AS q
+  FROM m JOIN k ON m.lang = k.lang JOIN v ON m.lang = v.lang
+  LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    CAST(coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM s WHERE n > 0 AND p > q
+), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM f)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_mixing, op3_chat, op4_token_counts, op5_lm_scoring, op6_sentencepiece, op7_quality_rules,
         op8_embedding_near_dedup, op9_line_dedup, op10_minhash_near_dedup, op11_tokenizer_alignment,
+        op12_source_divergence,
     )
 }
 ORACLES = {
@@ -205,4 +239,5 @@ ORACLES = {
     "op8_embedding_near_dedup": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
