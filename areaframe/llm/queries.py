@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .alignment import align
 from .chat import round_trip
 from .divergence import audit
+from . import languages
 from .lines import dedup_lines
 from .minhash import MinHash, near_duplicates
 from .mixing import mix_sources, with_sizes
@@ -112,6 +113,15 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return audit(table(spark, folder, "documents").select("lang", "source", "text"))
 
 
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    held_out = F.crc32(key) % 3 == 1
+    model = languages.learn(docs.filter(~held_out).select("lang", "text"))
+    slim = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return languages.identify(slim, model, spans=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -230,7 +240,7 @@ QUERIES = {
     for f in (
         op1_warc, op2_mixing, op3_chat, op4_token_counts, op5_lm_scoring, op6_sentencepiece, op7_quality_rules,
         op8_embedding_near_dedup, op9_line_dedup, op10_minhash_near_dedup, op11_tokenizer_alignment,
-        op12_source_divergence,
+        op12_source_divergence, op13_language_id,
     )
 }
 ORACLES = {
