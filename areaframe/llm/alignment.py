@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pieces, save
+from .shared import pieces, save, texts
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text in a block, and distinct segments encoded at once.
-BLOCK, BATCH = 1 << 24, 1 << 14
+#: Bytes of text in a block, distinct segments encoded at once, and segments in a text.
+BLOCK, BATCH, RUN = 1 << 23, 1 << 14, 64
 DOCUMENT, SEGMENTS, PAIR = 0, 1, 2
 
 
@@ -107,9 +108,9 @@ class Pair:
 
 def flat(ids: list[list[int]], offsets: list[list[tuple[int, int]]]) -> tuple[np.ndarray, ...]:
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    n = int(sizes.sum())
-    spans = np.fromiter((x for o in offsets for s in o for x in s), np.int64, 2 * n).reshape(n, 2)
-    return sizes, np.fromiter((i for x in ids for i in x), np.int32, n), spans[:, 0].copy(), spans[:, 1].copy()
+    n, every = int(sizes.sum()), chain.from_iterable
+    spans = np.fromiter(every(every(offsets)), np.int64, 2 * n).reshape(n, 2)
+    return sizes, np.fromiter(every(ids), np.int32, n), spans[:, 0].copy(), spans[:, 1].copy()
 
 
 @lru_cache(2)
@@ -117,17 +118,23 @@ def load(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
+def surely_solid(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each place is no space of any kind. Characters that begin with the bytes
+    of wide spaces are not sure."""
+    one, two, three = (data[np.maximum(ends - k, 0)] for k in (1, 2, 3))
+    ascii_ = (one > 0x20) & (one < 0x7F)
+    wide = (one >= 0x80) & (two != 0xC2) & ~(((three & 0xF0) == 0xE0) & (three <= 0xE3) & ((two & 0xC0) == 0x80))
+    return ascii_ | wide
+
+
 def cuts(whole: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Where segments begin: at every text, and at a space that follows a character that is surely none
-    and does not end its text. Characters that begin with the bytes of wide spaces count as such."""
+    and does not end its text."""
     at = np.flatnonzero(whole == 0x20)
-    one, two, three = (whole[np.maximum(at - k, 0)] for k in (1, 2, 3))
-    ascii_ = (one > 0x20) & (one < 0x7F)
-    wide = (one >= 0x80) & (two != 0xC2) & ~(((three & 0xF0) == 0xE0) & (three <= 0xE3) & ((two & 0xC0) == 0x80))
     last = np.zeros(len(whole) + 1, bool)
     last[marks[1:] - 1] = True
     own = np.zeros(len(whole) + 1, bool)
-    own[at[(ascii_ | wide) & ~last[at]]] = True
+    own[at[surely_solid(whole, at) & ~last[at]]] = True
     own[marks[:-1]] = True
     return np.flatnonzero(own[: len(whole)])
 
@@ -177,12 +184,12 @@ class Aligned:
         """Ends of A and of B as one growing number over all segments, and those common to both."""
         reach = int(max([0, *self.ends_a[-1:], self.ends_a.max(initial=0), self.ends_b.max(initial=0)])) + 1
         a, b = self.segment_a * reach + self.ends_a, self.segment_b * reach + self.ends_b
-        return a, b, np.intersect1d(a, b, assume_unique=True)
+        return a, b, a[np.isin(a, b, assume_unique=True, kind="sort")]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Links as A's id * 2**32 + B's id, in order, and how many each segment has."""
         a, b, _ = self.keys()
-        union = np.union1d(a, b)
+        union = distinct(np.r_[a, b])
         at_a, at_b = np.searchsorted(a, union), np.searchsorted(b, union)
         pairs = (self.ids_a[at_a].astype(np.int64) << 32) | self.ids_b[at_b].astype(np.int64)
         return pairs, np.bincount(self.segment_a[at_a], minlength=len(self.sizes_a))
@@ -220,40 +227,69 @@ class Aligned:
         return out[keep], np.bincount(owner, digits + 1, len(self.sizes_a)).astype(np.int64)
 
 
+def encode_runs(own: Pair, data: np.ndarray, marks: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Segments (``marks`` in ``data``) encoded as texts of one or more, a text beginning where ``new`` says. Per segment whether its
+    text comes back byte by byte from both sides; per side and token the segment, the id and the end within the segment."""
+    first = np.flatnonzero(new)
+    edge = np.r_[marks[:-1][first], marks[-1]]
+    whole = data.tobytes()
+    texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    byte_at = np.r_[begins, len(data)]
+    char_base = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+    good, sides = np.ones(len(texts), bool), []
+    for (sizes, ids, firsts, lasts), spelled in zip(own.encode(texts), (own.spelled_a, own.spelled_b)):
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        got = np.bincount(text_of, spelled.sizes[ids], len(texts)).astype(np.int64)
+        same = got == np.diff(edge)
+        # Equal lengths are not enough: the bytes themselves are compared.
+        mine = spelled.join(ids[same[text_of]])
+        theirs = data[spread(edge[:-1][same], np.diff(edge)[same])]
+        good &= same & (np.bincount(np.repeat(np.flatnonzero(same), np.diff(edge)[same]), mine != theirs, len(texts)) == 0)
+        ends = edge[:-1][text_of] + refined(ids, firsts, lasts, text_of, spelled, byte_at, char_base, edge[:-1])
+        sides.append((text_of, ids, ends))
+    out = []
+    for text_of, ids, ends in sides:
+        kept = good[text_of]
+        segment = np.searchsorted(marks, ends[kept]) - 1
+        out.append((segment, ids[kept], ends[kept] - marks[segment]))
+    return good[np.cumsum(new) - 1], out
+
+
 def align_segments(own: Pair, segments: pa.Array) -> Aligned:
-    """Encodes each segment once by both. A segment whose bytes either side does not give back is not ``whole`` and has no tokens."""
+    """Encodes each segment once by both, many in one text where they can be told apart again. A segment whose bytes either
+    side does not give back is not ``whole`` and has no tokens."""
     parts: list[list[np.ndarray]] = [[] for _ in range(7)]
     for start in range(0, len(segments), BATCH):
-        texts = segments.slice(start, BATCH).cast(pa.large_string()).to_pylist()
-        data = np.frombuffer("".join(texts).encode(), np.uint8)
-        begins = np.flatnonzero((data & 0xC0) != 0x80)
-        byte_at = np.r_[begins, len(data)]
-        char_base = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
-        base = byte_at[char_base]
-        sides, good = [], np.ones(len(texts), bool)
-        for (sizes, ids, firsts, lasts), spelled in zip(own.encode(texts), (own.spelled_a, own.spelled_b)):
-            text_of = np.repeat(np.arange(len(texts)), sizes)
-            got = np.bincount(text_of, spelled.sizes[ids], len(texts)).astype(np.int64)
-            same = got == np.diff(base)
-            # Of equal length as a whole is not enough: the bytes themselves are compared.
-            keep = same[text_of]
-            mine = spelled.join(ids[keep])
-            theirs = data[spread(base[:-1][same], np.diff(base)[same])]
-            differ = np.bincount(np.repeat(np.flatnonzero(same), np.diff(base)[same]), mine != theirs, len(texts)) > 0
-            good &= same & ~differ
-            ends = refined(ids, firsts, lasts, text_of, spelled, byte_at, char_base, base[:-1])
-            sides.append((sizes, ids, ends, text_of))
+        data, marks = texts(segments.slice(start, BATCH))
+        n = len(marks) - 1
+        new = np.ones(n, bool)
+        if own.separable:
+            new[1:] = ~surely_solid(data, marks[1:-1]) | (np.arange(1, n) % RUN == 0)
+        good, sides = encode_runs(own, data, marks, new)
+        alone = np.flatnonzero(~good)
+        if len(alone):  # one by one, so that a segment that does not come back spoils no other
+            sizes = np.diff(marks)[alone]
+            fine, more = encode_runs(own, data[spread(marks[alone], sizes)], np.r_[0, np.cumsum(sizes)], np.ones(len(alone), bool))
+            good[alone[fine]] = True
+            both = [tuple(np.concatenate(x) for x in zip(a, (alone[b[0]], *b[1:]))) for a, b in zip(sides, more)]
+            sides = [tuple(x[np.argsort(side[0], kind="stable")] for x in side) for side in both]
         parts[0].append(good)
-        for k, (sizes, ids, ends, text_of) in enumerate(sides):
-            parts[1 + 3 * k].append(np.where(good, sizes, 0))
-            parts[2 + 3 * k].append(ids[good[text_of]])
-            parts[3 + 3 * k].append(ends[good[text_of]])
+        for k, (segment, ids, ends) in enumerate(sides):
+            parts[1 + 3 * k].append(np.bincount(segment, minlength=n))
+            parts[2 + 3 * k].append(ids)
+            parts[3 + 3 * k].append(ends)
     whole, sizes_a, ids_a, ends_a, sizes_b, ids_b, ends_b = (
         np.concatenate(p) if p else np.zeros(0, bool if k == 0 else np.int64) for k, p in enumerate(parts)
     )
     return Aligned(whole, sizes_a, ids_a, sizes_b, ids_b, ends_a, ends_b)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of runs of ``values``."""
     total = np.r_[0, np.cumsum(values)]
@@ -282,12 +318,13 @@ def block_rows(own: Pair, data: np.ndarray, marks: np.ndarray) -> dict[str, obje
     doc_of = np.repeat(np.arange(n), np.diff(bounds))
     kept = valid[doc_of]
     pairs, n_links = aligned.links()
-    distinct, pair_codes = np.unique(pairs, return_inverse=True)
+    kinds = distinct(pairs)
+    pair_codes = np.searchsorted(kinds, pairs)
     link_at = np.r_[0, np.cumsum(n_links)]
     # Documents that hold a pair: distinct segments of a document first, then distinct pairs of those.
     span = max(1, len(aligned.whole))
-    held = np.unique(doc_of[kept] * span + codes[kept])
-    n_docs = np.zeros(len(distinct), np.int64)
+    held = distinct(doc_of[kept] * span + codes[kept])
+    n_docs = np.zeros(len(kinds), np.int64)
     edges = np.searchsorted(held, np.arange(0, n + 1) * span)
     first = 0
     while first < n:  # a few million links at a time
@@ -299,8 +336,8 @@ def block_rows(own: Pair, data: np.ndarray, marks: np.ndarray) -> dict[str, obje
         segment = some % span
         mine = pair_codes[spread(link_at[segment], n_links[segment])]
         owner = np.repeat(some // span, n_links[segment])
-        seen = np.unique((owner - first) * max(1, len(distinct)) + mine)
-        n_docs += np.bincount(seen % max(1, len(distinct)), minlength=len(distinct))
+        seen = distinct((owner - first) * max(1, len(kinds)) + mine)
+        n_docs += np.bincount(seen % max(1, len(kinds)), minlength=len(kinds))
         first = stop
     used = n_docs > 0
     n_groups, _ = aligned.groups()
@@ -308,13 +345,21 @@ def block_rows(own: Pair, data: np.ndarray, marks: np.ndarray) -> dict[str, obje
         name: np.where(valid, sums(values[codes], bounds), 0)
         for name, values in (("n_a", aligned.sizes_a), ("n_b", aligned.sizes_b), ("n_groups", n_groups), ("n_links", n_links))
     }
-    small = codes.astype(np.int32)
     return {
-        "codes": [small[a:b].tobytes() if v else b"" for a, b, v in zip(bounds[:-1].tolist(), bounds[1:].tolist(), valid.tolist())],
-        "counted": counted, "aligned": aligned, "pairs": distinct[used], "n_docs": n_docs[used],
+        "codes": [packed(codes[a:b]) if v else b"" for a, b, v in zip(bounds[:-1].tolist(), bounds[1:].tolist(), valid.tolist())],
+        "counted": counted, "aligned": aligned, "pairs": kinds[used], "n_docs": n_docs[used],
     }
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, their lowest bytes first, then the next: high bytes are nearly all 0 and compress away."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+
+
 FIELDS = "block bigint, kind int, codes binary, tokens array<binary>, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, a int, b int, docs bigint"
 
 
@@ -353,7 +398,7 @@ def align(
                 )
 
             yield batch(rows.num_rows, DOCUMENT, id=ids, codes=pa.array(found["codes"], pa.binary()), **{k: pa.array(v) for k, v in found["counted"].items()})
-            tokens = [x.astype(np.int32).tobytes() for x in (aligned.whole, aligned.sizes_a, aligned.ids_a, aligned.ends_a, aligned.sizes_b, aligned.ids_b, aligned.ends_b)]
+            tokens = [packed(x) for x in (aligned.whole, aligned.sizes_a, aligned.ids_a, aligned.ends_a, aligned.sizes_b, aligned.ids_b, aligned.ends_b)]
             yield batch(1, SEGMENTS, tokens=pa.array([tokens], pa.list_(pa.binary())))
             for start in range(0, len(found["pairs"]), 1 << 16):
                 own_pairs, n_docs = (found[k][start : start + (1 << 16)] for k in ("pairs", "n_docs"))
@@ -373,7 +418,7 @@ def align(
         kinds = left.column("kind").to_numpy()
         rows = left.filter(pa.array(kinds == DOCUMENT))
         tokens = left.filter(pa.array(kinds == SEGMENTS)).column("tokens")[0].as_py()
-        whole, sizes_a, ids_a, ends_a, sizes_b, ids_b, ends_b = (np.frombuffer(x, np.int32).astype(np.int64) for x in tokens)
+        whole, sizes_a, ids_a, ends_a, sizes_b, ids_b, ends_b = (unpacked(x) for x in tokens)
         aligned = Aligned(whole.astype(bool), sizes_a, ids_a, sizes_b, ids_b, ends_a, ends_b)
         pairs, n_links = aligned.links()
         key = (right.column("a").to_numpy().astype(np.int64) << 32) | right.column("b").to_numpy().astype(np.int64)
@@ -390,8 +435,8 @@ def align(
         text, text_sizes = aligned.written()
         text_at = np.r_[0, np.cumsum(text_sizes)]
         column = rows.column("codes")
-        codes = [np.frombuffer(x.as_py() or b"", np.int32) for x in column]
-        flat_codes = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        codes = [unpacked(x.as_py() or b"") for x in column]
+        flat_codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         doc_at = np.r_[0, np.cumsum([len(c) for c in codes])].astype(np.int64)
         written = [text[spread(text_at[c], text_sizes[c])][:-1].tobytes() for c in codes]
         return pa.Table.from_arrays(
