@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import chain
 
 from pyspark.sql import Column
@@ -53,15 +53,25 @@ def encode(c: Column | str, codes: Mapping, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is mentioned: lambda
+    variables are bound, columns that stand for long expressions may be written out anew."""
+    return F.transform(F.array(value), use)[0]
+
+
 def top_class(scores: Column | str) -> Column:
     """Position of the largest score, from 0; the first one on ties."""
-    scores = as_column(scores)
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    return let(as_column(scores), lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))
 
 
 def soft_scores(scores: Column | str) -> Column:
     """Softmax over an array, shifted by its largest element so exp cannot overflow."""
-    scores = as_column(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
+
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+        return let(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    def shifted(s: Column) -> Column:
+        return let(F.array_max(s), lambda top: let(F.transform(s, lambda x: F.exp(x - top)), shares))
+
+    return let(as_column(scores), shifted)

@@ -109,6 +109,15 @@ def split_cuts(
     return ends.select("end.*")
 
 
+ORDER_BITS = 60
+
+
+def split_order(row_id: str, seed: int) -> Column:
+    """The first 60 bits of the MD5 of ``seed:id``, as a number: an order by chance that does not depend on the engine."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(as_column(row_id).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, ORDER_BITS // 4), 16, 10).cast("bigint")
+
+
 def stratified_split(
     df: DataFrame,
     row_id: str,
@@ -120,23 +129,25 @@ def stratified_split(
     bits: int = 16,
 ) -> DataFrame:
     """Adds ``split``: per class an exact, seeded share of test rows, then of the
-    rest an exact share of validation rows. ``row_id`` must be unique.
+    rest an exact share of validation rows.
 
-    Rows are ordered within a class by a hash of id and seed. The place of each
+    Rows are ordered within a class by :func:`split_order`, which any engine can
+    work out, then by id. The place of each
     cut in that order is found in two narrow passes: counts per hash range say
     which range a cut falls into, and only the rows of that range are ranked.
     Every row is then compared with its class's cuts. No class is ever sorted or
     held in one task, and the rows themselves are not exchanged. The cuts are
     broadcast: at most two rows for each of the given ``classes``. A label
-    outside ``classes`` stops the job.
+    outside ``classes`` stops the job, and so does an id on both sides of a cut: ids
+    that repeat elsewhere share a part and leave the sizes exact.
     """
-    hashed = F.xxhash64(as_column(row_id), F.lit(seed))
+    hashed = split_order(row_id, seed)
     position = F.struct(hashed.alias("hash"), as_column(row_id).alias("id"))
     # Saying that the class is present, which follows, keeps both uses of the
     # counts below alike, so that their exchange is made once.
     placed = df.select(as_column(label).alias("_class"), position.alias("_at")).filter(
         F.col("_class").isNotNull() & F.col("_class").isin(*classes)
-    ).withColumn("_range", F.shiftright(F.col("_at.hash"), 64 - bits))
+    ).withColumn("_range", F.shiftright(F.col("_at.hash"), ORDER_BITS - bits))
 
     ranges = placed.groupBy("_class", "_range").agg(F.count(F.lit(1)).alias("_n"))
     sizes = ranges.groupBy(F.col("_class").alias("label")).agg(F.sum("_n").alias("size"))
@@ -154,8 +165,12 @@ def stratified_split(
     in_range = Window.partitionBy("_class", "_range", "_part").orderBy("_at")
     last_rows = (
         placed.join(F.broadcast(cut_ranges), ["_class", "_range"])
-        .withColumn("_place", F.row_number().over(in_range))
+        .withColumns({"_place": F.row_number().over(in_range), "_next": F.lead("_at").over(in_range)})
         .filter(F.col("_place") == F.col("_rank"))
+        .withColumn("_at", F.when(
+            F.col("_at").eqNullSafe(F.col("_next")),
+            F.raise_error(F.concat(F.lit("an id stands on both sides of a cut: "), F.col("_at.id").cast("string"))),
+        ).otherwise(F.col("_at")))
         .groupBy("_class")
         .agg(
             F.max(F.when(F.col("_part") == TEST, F.col("_at"))).alias("_test_end"),

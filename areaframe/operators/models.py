@@ -1,131 +1,42 @@
-"""Classifiers on MLlib."""
+"""Classifiers: fitting, scoring, and their traces."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-    OneVsRestModel,
-)
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import as_column
 from ..functions.numbers import soft_scores, top_class
+from .boosting import BoostedTrees, Penalty, fit_boosted_trees
+from .nets import ReluNet, fit_relu_net
 
+__all__ = ["BoostedTrees", "Penalty", "ReluNet", "fit_boosted_trees", "fit_relu_net", "predict", "training_trace"]
 
-def as_doubles(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Model columns as doubles beside whatever else the frame holds."""
-    return df.withColumns(
-        {**{c: as_column(c).cast("double") for c in columns},
-         "label": as_column(label).cast("double")}
-    )
+Model = BoostedTrees | ReluNet
 
 
-def fit_boosted_trees(
-    train: DataFrame,
-    features: Sequence[str],
-    label: str,
-    depth: int = 2,
-    rounds: int = 10,
-    rate: float = 0.1,
-    seed: int = 0,
-    parallelism: int = 8,
-) -> PipelineModel:
-    """Boosted trees, one set against the rest per class, classes fitted side by
-    side. The trees take no missing values, so medians of the training rows stand in."""
-    filled = [f"{f}_filled" for f in features]
-    trees = GBTClassifier(maxDepth=depth, maxIter=rounds, stepSize=rate, seed=seed)
-    stages = [
-        Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=filled, outputCol="features"),
-        OneVsRest(classifier=trees, parallelism=parallelism),
-    ]
-    return Pipeline(stages=stages).fit(as_doubles(train, features, label))
+def predict(model: Model, df: DataFrame, label: str, classes: int | None = None) -> DataFrame:
+    """Adds ``label``, ``prediction`` and ``scores``, an array with one per class that sums to 1.
 
-
-def fit_neural_net(
-    train: DataFrame,
-    features: Sequence[str],
-    label: str,
-    classes: int,
-    hidden: int = 20,
-    steps: int = 1000,
-    rate: float = 0.1,
-    solver: str = "gd",
-    seed: int = 0,
-) -> PipelineModel:
-    """One hidden layer with softmax output, full-batch descent. Rows that miss a
-    feature are skipped, in fitting and in scoring.
-
-    A step is a pass over the training rows. Where passes are dear, the solver
-    'l-bfgs' gets to a lower training loss in about a tenth of them.
-    """
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
-        MultilayerPerceptronClassifier(
-            layers=[len(features), hidden, classes],
-            solver=solver,
-            stepSize=rate,
-            maxIter=steps,
-            seed=seed,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(as_doubles(train, features, label))
-
-
-def margins(model: OneVsRestModel, df: DataFrame, name: str) -> DataFrame:
-    """Adds an array with the margin of each class's own set of trees.
-
-    The sets are applied one by one, which stays in the JVM; the model's own
-    transform gathers them through a Python function per row and class.
-    """
-    columns = [f"_margin{i}" for i in range(len(model.models))]
-    for own, column in zip(model.models, columns):
-        scorer = own.copy().setRawPredictionCol(column).setPredictionCol("").setProbabilityCol("")
-        df = scorer.transform(df)
-    arrays = [vector_to_array(c)[1] for c in columns]
-    return df.withColumn(name, F.array(*arrays)).drop(*columns)
-
-
-def predict(
-    model: PipelineModel,
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    classes: int | None = None,
-) -> DataFrame:
-    """Adds ``label``, ``prediction`` and ``scores``, an array with one per class
-    that sums to 1. One-vs-rest models give margins, which softmax brings there.
-
-    A model knows the classes up to the largest of its training rows; of ``classes``
-    in all, the others score 0.
+    Trees score every row. A net skips rows that miss a feature. A model knows the classes up to the largest of its
+    training rows; of ``classes`` in all, the others score 0.
     """
-    named = as_doubles(df, features, label)
-    if isinstance(model.stages[-1], OneVsRestModel):
-        filled = PipelineModel(model.stages[:-1]).transform(named)
-        # A column of its own: scoring is not repeated for each mention of the array.
-        scored = margins(model.stages[-1], filled, "scores").withColumns(
-            {"scores": soft_scores("scores"), "prediction": top_class("scores")}
-        )
-    else:
-        scored = model.transform(named).withColumns(
-            {"scores": vector_to_array("probability"), "prediction": F.col("prediction").cast("int")}
-        )
+    if isinstance(model, ReluNet):
+        df = model.complete(df)
+    scored = df.withColumn("label", as_column(label).cast("int")).withColumn("scores", soft_scores(model.margins()))
+    scored = scored.withColumn("prediction", top_class("scores"))
     if classes is not None:
         absent = F.greatest(F.lit(classes) - F.size("scores"), F.lit(0))
-        full = F.concat("scores", F.array_repeat(F.lit(0.0), absent))
-        scored = scored.withColumn("scores", full)
-    extra = {"probability", "rawPrediction", "features", *[f"{f}_filled" for f in features]}
-    return scored.withColumn("label", F.col("label").cast("int")).drop(*extra)
+        scored = scored.withColumn("scores", F.concat("scores", F.array_repeat(F.lit(0.0), absent)))
+    return scored
 
 
-def training_trace(model: PipelineModel) -> list[float]:
-    """Loss after each step of a fitted net."""
-    return list(model.stages[-1].summary().objectiveHistory)
+def training_trace(model: Model, parts: DataFrame, label: str, part: str = "split") -> DataFrame:
+    """(part, step, rows, loss, accuracy) after each step, 0 before the first. Trees are judged on every part of ``parts``, all
+    rounds in one pass; a net kept what its steps met on their way, on its training rows, which are named as in ``part``."""
+    if isinstance(model, BoostedTrees):
+        return model.staged(parts, label, part).withColumnRenamed(part, "part").select("part", "step", "rows", "loss", "accuracy")
+    rows = [("train", i, *at) for i, at in enumerate(model.trace)]
+    return parts.sparkSession.createDataFrame(rows, "part string, step int, rows bigint, loss double, accuracy double")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from ..operators.features import (
     stratified_split,
 )
 from ..operators.metrics import accuracy_of, confusion, log_loss_of, one_vs_rest_auc
-from ..operators.models import fit_boosted_trees, fit_neural_net, predict
+from ..operators.models import Model, fit_boosted_trees, fit_relu_net, predict, training_trace
 from ..operators.projection import shift
 from ..session import cut_lineage
 from .common import KEY
@@ -51,16 +50,16 @@ def prepare_features(
 
 def evaluate(
     name: str,
-    model: PipelineModel,
+    model: Model,
     prepared: DataFrame,
-    features: Sequence[str],
     target: str = TARGET,
     classes: Sequence[int] = CLASSES,
 ) -> DataFrame:
     """Long table of measures: overall ones without a class, AUC also per class,
     and the confusion matrix of held-out rows by class and predicted class. The
     numbers of rows behind the measures stand beside them: a net skips rows that
-    miss a feature.
+    miss a feature. Loss and accuracy after every training step are there as
+    ``trace_loss`` and ``trace_accuracy``, with the step and the part they were taken on.
 
     Held-out rows are scored once and their scores written. What a part yields is
     one row per class at most, so its measures are put together in one row and then listed.
@@ -68,7 +67,7 @@ def evaluate(
 
     def scored(part: str) -> DataFrame:
         rows_of = prepared.filter(F.col("split") == part)
-        return predict(model, rows_of, features, target, max(classes) + 1)
+        return predict(model, rows_of, target, max(classes) + 1)
 
     def entry(
         metric: str, value: Column, class_: Column | None = None, predicted: Column | None = None
@@ -77,6 +76,8 @@ def evaluate(
             F.lit(metric).alias("metric"),
             (F.lit(None) if class_ is None else class_).cast("int").alias("class"),
             (F.lit(None) if predicted is None else predicted).cast("int").alias("predicted"),
+            F.lit(None).cast("int").alias("step"),
+            F.lit(None).cast("string").alias("part"),
             value.cast("double").alias("value"),
         )
 
@@ -106,7 +107,20 @@ def evaluate(
         ).alias("entries")
     )
     entries = trained.unionByName(overall).unionByName(by_class).unionByName(by_pair)
-    return entries.select(F.lit(name).alias("model"), F.inline("entries"))
+    measured = entries.select(F.lit(name).alias("model"), F.inline("entries"))
+    return measured.unionByName(traced(name, model, prepared, target))
+
+
+def traced(name: str, model: Model, prepared: DataFrame, target: str) -> DataFrame:
+    """The training trace in the form of the measures."""
+    trace = training_trace(model, prepared.filter(F.col("split").isin(TRAIN, VALIDATION)), target)
+    rows_of = F.array(*[
+        F.struct(F.lit(f"trace_{of}").alias("metric"), F.col(of).alias("value")) for of in ("loss", "accuracy")
+    ])
+    nothing = F.lit(None).cast("int")
+    return trace.select("step", "part", F.inline(rows_of)).select(
+        F.lit(name).alias("model"), "metric", nothing.alias("class"), nothing.alias("predicted"), "step", "part", "value"
+    )
 
 
 def train_and_evaluate(
@@ -114,7 +128,6 @@ def train_and_evaluate(
     classes: Sequence[int] = CLASSES,
     rounds: int = 10,
     steps: int = 1000,
-    solver: str = "gd",
     seed: int = SEED,
 ) -> DataFrame:
     """Both models on one prepared table, their measures in one table. The model
@@ -122,12 +135,10 @@ def train_and_evaluate(
     prepared = cut_lineage(prepare_features(cut_lineage(features), classes=classes, seed=seed))
     names = feature_names(features)
     train = prepared.filter(F.col("split") == TRAIN)
-    trees = fit_boosted_trees(train, names, TARGET, rounds=rounds, seed=seed)
-    net = fit_neural_net(
-        train, names, TARGET, len(classes), steps=steps, solver=solver, seed=seed
-    )
+    trees = fit_boosted_trees(train, names, TARGET, rounds=rounds, classes=len(classes))
+    net = fit_relu_net(train, names, TARGET, len(classes), steps=steps, seed=seed)
     judged = [
-        evaluate(name, model, prepared, names, classes=classes)
+        evaluate(name, model, prepared, classes=classes)
         for name, model in (("boosted_trees", trees), ("neural_net", net))
     ]
     return judged[0].unionByName(judged[1])

@@ -24,7 +24,9 @@ from ..operators.metrics import (
     macro_auc,
     one_vs_rest_auc,
 )
-from ..operators.models import fit_boosted_trees, fit_neural_net, predict
+from ..operators.boosting import binned, level_sums, split_gains, with_gradients
+from ..operators.models import fit_boosted_trees, fit_relu_net, predict
+from ..operators.nets import gradient_sums, start_net
 from ..session import cut_lineage
 from .registry import LABELLED, labelled_documents, query, table
 
@@ -205,7 +207,25 @@ def stratified_split_orders(spark: SparkSession, folder: str) -> DataFrame:
     return split_sizes(parts, "level")
 
 
-@query()
+def split_rows_sql(table: str, row_id: str, label: str) -> str:
+    """CTEs up to ``r``: id, label and split of every row of ``table`` that has a label."""
+    return (
+        f"l AS (SELECT {row_id} AS id, {label} AS label FROM {table}), "
+        "g AS (SELECT label, count(*) AS n FROM l GROUP BY label), a AS ("
+        + QUOTAS.format("g")
+        + "), h AS (SELECT label, n - q AS n FROM a), b AS ("
+        + QUOTAS.format("h")
+        + "), o AS (SELECT id, l.label, row_number() OVER (PARTITION BY l.label ORDER BY "
+        f"('0x' || substr(md5('{SEED}:' || id), 1, 15))::BIGINT, id) AS place FROM l), "
+        "r AS (SELECT id, o.label, CASE WHEN place <= a.q THEN 'test' WHEN place <= a.q + b.q THEN 'validation' "
+        "ELSE 'train' END AS split FROM o JOIN a ON o.label = a.label JOIN b ON o.label = b.label)"
+    )
+
+
+@query(
+    "WITH " + split_rows_sql("labels", "doc_id", "quality")
+    + " SELECT doc_id, quality, toxic, split FROM labels JOIN r ON doc_id = id"
+)
 def stratified_split_rows(spark: SparkSession, folder: str) -> DataFrame:
     return stratified_split(table(spark, folder, "labels"), "doc_id", "quality", [0, 1], SEED)
 
@@ -243,24 +263,150 @@ def embedding_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[s
     return parts.select("vec_id", "label", "split", *elements), names
 
 
-def held_out_scores(model, parts: DataFrame, names: list[str]) -> DataFrame:
+def held_out_scores(model, parts: DataFrame) -> DataFrame:
     held_out = parts.filter(F.col("split") == VALIDATION)
-    scored = predict(model, held_out, names, "label", len(CLASSES))
-    return scored.select("vec_id", "label", "prediction", "scores")
+    return predict(model, held_out, "label", len(CLASSES)).select("vec_id", "label", "prediction", "scores")
+
+
+def boosted_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    parts, names = embedding_parts(spark, folder)
+    train = parts.filter(F.col("split") == TRAIN)
+    return held_out_scores(fit_boosted_trees(train, names, "label", classes=len(CLASSES)), parts)
+
+
+def net_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    parts, names = embedding_parts(spark, folder)
+    train = parts.filter(F.col("split") == TRAIN)
+    return held_out_scores(fit_relu_net(train, names, "label", len(CLASSES), steps=20, seed=SEED), parts)
 
 
 @query()
 def boosted_trees(spark: SparkSession, folder: str) -> DataFrame:
-    parts, names = embedding_parts(spark, folder)
-    model = fit_boosted_trees(parts.filter(F.col("split") == TRAIN), names, "label", seed=SEED)
-    return held_out_scores(model, parts, names)
+    return boosted_embeddings(spark, folder)
 
 
 @query()
 def neural_net(spark: SparkSession, folder: str) -> DataFrame:
-    parts, names = embedding_parts(spark, folder)
-    train = parts.filter(F.col("split") == TRAIN)
-    model = fit_neural_net(
-        train, names, "label", len(CLASSES), steps=100, solver="l-bfgs", seed=SEED
+    return net_embeddings(spark, folder)
+
+
+# What SQL can say of any model's output: which rows it scores, and how scores and prediction hang together.
+SCORED = (
+    "WITH " + split_rows_sql("embeddings", "vec_id", "label")
+    + " SELECT id AS vec_id, label, 10 AS classes, TRUE AS sums_to_one, TRUE AS within, TRUE AS top FROM r WHERE split = 'validation'"
+)
+
+
+def scores_hang_together(scored: DataFrame) -> DataFrame:
+    total = F.aggregate("scores", F.lit(0.0), lambda acc, x: acc + x)
+    return scored.select(
+        "vec_id", "label", F.size("scores").alias("classes"),
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        F.forall("scores", lambda x: (x >= 0) & (x <= 1)).alias("within"),
+        (F.element_at("scores", F.col("prediction") + 1) == F.array_max("scores")).alias("top"),
     )
-    return held_out_scores(model, parts, names)
+
+
+@query(SCORED)
+def boosted_trees_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return scores_hang_together(boosted_embeddings(spark, folder))
+
+
+@query(SCORED)
+def neural_net_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return scores_hang_together(net_embeddings(spark, folder))
+
+
+# Three numbers of a line and the class it falls into, with missing values among them.
+LINE_CLASSES = 4
+LINE_FEATURES = {
+    "f0": "case when l_linenumber = 3 then null else l_quantity end",
+    "f1": "l_discount * 100",
+    "f2": "case when l_returnflag = 'A' and l_tax > 0.05 then null else l_tax * 100 end",
+}
+LINE_LABEL = "case l_returnflag when 'A' then 0 when 'N' then 1 + cast(l_linenumber % 2 as int) else 3 end"
+LINE_EDGES = ([10.0, 20.0, 30.0, 40.0], [2.5, 5.5, 8.5], [1.5, 4.5])
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    named = [F.expr(sql).cast("double").alias(name) for name, sql in LINE_FEATURES.items()]
+    return table(spark, folder, "lineitem").select(*named, F.expr(LINE_LABEL).cast("int").alias("label"))
+
+
+def gains_sql(l1: float = 10.0, l2: float = 1.0, least: float = 1.0) -> str:
+    """The first level's split gains: every class has the same score in every row."""
+    share = 1 / LINE_CLASSES
+    bins = [
+        f"CASE WHEN {sql} IS NULL THEN 0 ELSE 1 + " + " + ".join(f"(({sql}) >= {e})::INTEGER" for e in own) + " END"
+        for (name, sql), own in zip(LINE_FEATURES.items(), LINE_EDGES)
+    ]
+    worth = "pow(sign({0}) * greatest(abs({0}) - %s::DOUBLE, 0), 2) / ({1} + %s::DOUBLE)" % (l1, l2)
+    left = "(low_{0} + CASE WHEN missing_left THEN gone_{0} ELSE 0 END)"
+    lg, lh = left.format("g"), left.format("h")
+    return (
+        f"WITH x AS (SELECT {LINE_LABEL} AS label, unnest([{', '.join(bins)}]) AS bin, "
+        "unnest([0, 1, 2]) AS feature FROM lineitem), "
+        f"s AS (SELECT CAST(c AS INTEGER) AS class, feature, bin, "
+        f"sum({share}::DOUBLE - (label = c)::INTEGER) AS g, sum({2 * share * (1 - share)}::DOUBLE) AS h "
+        f"FROM x, range({LINE_CLASSES}) AS t(c) GROUP BY ALL), "
+        "w AS (SELECT *, sum(g) OVER p AS all_g, sum(h) OVER p AS all_h, "
+        "coalesce(sum(g) FILTER (bin = 0) OVER p, 0) AS gone_g, coalesce(sum(h) FILTER (bin = 0) OVER p, 0) AS gone_h, "
+        "coalesce(sum(g) FILTER (bin > 0) OVER (PARTITION BY class, feature ORDER BY bin), 0) AS low_g, "
+        "coalesce(sum(h) FILTER (bin > 0) OVER (PARTITION BY class, feature ORDER BY bin), 0) AS low_h "
+        "FROM s WINDOW p AS (PARTITION BY class, feature)), "
+        "m AS (SELECT * FROM w, (VALUES (TRUE), (FALSE)) AS b(missing_left)) "
+        f"SELECT class, feature, CAST(bin AS INTEGER) AS bin, missing_left, CASE WHEN bin > 0 AND {lh} >= {least} AND all_h - {lh} >= {least} "
+        f"THEN round({worth.format(lg, lh)} + {worth.format(f'(all_g - {lg})', f'(all_h - {lh})')} "
+        f"- {worth.format('all_g', 'all_h')}, 4) END AS gain FROM m"
+    )
+
+
+@query(gains_sql())
+def boosted_split_gains(spark: SparkSession, folder: str) -> DataFrame:
+    """Every first split that boosting weighs, on quantity, discount and tax of all lines."""
+    placed = binned(lines(spark, folder), list(LINE_FEATURES), LINE_EDGES)
+    even = with_gradients(placed.withColumn("margins", F.array_repeat(F.lit(0.0), LINE_CLASSES)), LINE_CLASSES)
+    gains = split_gains(level_sums(even, [(k, 0) for k in range(LINE_CLASSES)]))
+    return gains.select("class", "feature", "bin", "missing_left", F.round("gain", 4).alias("gain"))
+
+
+HIDDEN = 3
+
+
+def net_step_sql() -> str:
+    """Loss, accuracy and gradient sums of the first weights, all products spelled out."""
+    net = start_net(list(LINE_FEATURES), LINE_CLASSES, HIDDEN, SEED)
+
+    def line(weights, names) -> str:
+        return " + ".join(f"({w!r})::DOUBLE * {n}" for w, n in zip(weights, names))
+
+    inputs = [*LINE_FEATURES, "1"]
+    units = [f"a{i}" for i in range(HIDDEN)]
+    sql = "WITH x AS (SELECT " + ", ".join(f"({q})::DOUBLE / 10 AS {n}" for n, q in LINE_FEATURES.items()) + f", {LINE_LABEL} AS label FROM lineitem), "
+    sql += "h AS (SELECT *, " + ", ".join(f"greatest({line(w, inputs)}, 0) AS a{i}" for i, w in enumerate(net.hidden))
+    sql += " FROM x WHERE " + " AND ".join(f"{n} IS NOT NULL" for n in LINE_FEATURES) + "), "
+    sql += "z AS (SELECT *, " + ", ".join(f"exp({line(w, [*units, '1'])}) AS e{k}" for k, w in enumerate(net.output)) + " FROM h), "
+    whole = " + ".join(f"e{k}" for k in range(LINE_CLASSES))
+    sql += "d AS (SELECT *, " + ", ".join(f"e{k} / ({whole}) - (label = {k})::INTEGER AS d{k}" for k in range(LINE_CLASSES)) + " FROM z), "
+    back = [line([w[i] for w in net.output], [f"d{k}" for k in range(LINE_CLASSES)]) for i in range(HIDDEN)]
+    sql += "b AS (SELECT *, " + ", ".join(f"CASE WHEN a{i} > 0 THEN {own} ELSE 0 END AS b{i}" for i, own in enumerate(back)) + " FROM d) "
+    own = "CASE label " + " ".join(f"WHEN {k} THEN e{k}" for k in range(LINE_CLASSES)) + " END"
+    top = f"{own} = greatest({', '.join(f'e{k}' for k in range(LINE_CLASSES))})"
+    sums = ["count(*)", f"sum(-ln({own} / ({whole})))", f"sum(({top})::INTEGER)"]
+    sums += [f"sum(b{i} * {n})" for i in range(HIDDEN) for n in inputs]
+    sums += [f"sum(d{k} * {n})" for k in range(LINE_CLASSES) for n in [*units, "1"]]
+    return sql + "SELECT [" + ", ".join(f"({s})::DOUBLE" for s in sums) + "] AS v FROM b"
+
+
+def net_step_query() -> str:
+    sums = net_step_sql()
+    return f"WITH t AS ({sums}) SELECT CAST(unnest(range(len(v))) AS INTEGER) AS place, round(unnest(v), 3) AS total FROM t"
+
+
+@query(net_step_query())
+def relu_net_first_step(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, loss, right ones and every weight's gradient before the first step, summed over all complete lines."""
+    net = start_net(list(LINE_FEATURES), LINE_CLASSES, HIDDEN, SEED)
+    scaled = lines(spark, folder).withColumns({n: F.col(n) / 10 for n in LINE_FEATURES})
+    rows = net.complete(scaled).select(net.inputs().alias("x"), "label")
+    return gradient_sums(net, rows).select(F.posexplode("total").alias("place", "total")).select("place", F.round("total", 3).alias("total"))

@@ -8,7 +8,7 @@ import pytest
 from areaframe.queries import ORACLES, QUERIES
 from areaframe.queries.registry import SCHEMAS
 
-TRAINED = {"boosted_trees", "neural_net", "train_evaluate"}
+TRAINED = {"boosted_trees", "boosted_trees_rows", "neural_net", "neural_net_rows", "train_evaluate"}
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
