@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from .shared import pieces, save, texts
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text in a block, distinct segments encoded at once, and segments in a text.
-BLOCK, BATCH, RUN = 1 << 23, 1 << 14, 64
+#: Bytes of text in a block, distinct segments encoded at once, segments in a text, and segments remembered.
+BLOCK, BATCH, RUN, KNOWN = 1 << 22, 1 << 12, 64, 1 << 18
 DOCUMENT, SEGMENTS, PAIR = 0, 1, 2
 
 
@@ -88,6 +89,8 @@ class Pair:
         self.spelled_a = Spelled([bytes(letters[c] for c in t) if set(t) <= set(letters) else t.encode() for t in table])
         spelled = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.spelled_b = Spelled([piece_bytes(p) for p in spelled])
+        #: Segments met before, and their tokens.
+        self.known: tuple[pa.Array, Aligned] | None = None
         #: Whether no piece reaches over the step from another character to a space.
         self.separable = not any(re.search("[^▁ ][▁ ]", p) for p in spelled)
 
@@ -180,6 +183,16 @@ class Aligned:
     def segment_b(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.sizes_b)), self.sizes_b)
 
+    def take(self, at: np.ndarray) -> Aligned:
+        """The segments at these places, in this order."""
+        first_a, first_b = np.cumsum(self.sizes_a) - self.sizes_a, np.cumsum(self.sizes_b) - self.sizes_b
+        a, b = spread(first_a[at], self.sizes_a[at]), spread(first_b[at], self.sizes_b[at])
+        return Aligned(self.whole[at], self.sizes_a[at], self.ids_a[a], self.sizes_b[at], self.ids_b[b], self.ends_a[a], self.ends_b[b])
+
+    def and_then(self, more: Aligned) -> Aligned:
+        names = ("whole", "sizes_a", "ids_a", "sizes_b", "ids_b", "ends_a", "ends_b")
+        return Aligned(*[np.concatenate([getattr(self, n), getattr(more, n)]) for n in names])
+
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ends of A and of B as one growing number over all segments, and those common to both."""
         reach = int(max([0, *self.ends_a[-1:], self.ends_a.max(initial=0), self.ends_b.max(initial=0)])) + 1
@@ -285,6 +298,24 @@ def align_segments(own: Pair, segments: pa.Array) -> Aligned:
     return Aligned(whole, sizes_a, ids_a, sizes_b, ids_b, ends_a, ends_b)
 
 
+def align_known(own: Pair, segments: pa.Array) -> Aligned:
+    """As :func:`align_segments`; those met in the blocks before are taken from there. What is held stays below
+    ``KNOWN`` segments, or one block's."""
+    if own.known is None:
+        found = align_segments(own, segments)
+        own.known = segments, found
+        return found
+    held, before = own.known
+    at = pc.index_in(segments, value_set=held).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    new = np.flatnonzero(at < 0)
+    fresh = segments.take(pa.array(new))
+    every = before.and_then(align_segments(own, fresh))
+    at[new] = len(held) + np.arange(len(new))
+    found = every.take(at)
+    own.known = (pa.concat_arrays([held, fresh]), every) if len(held) + len(new) <= KNOWN else (segments, found)
+    return found
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
@@ -313,7 +344,7 @@ def block_rows(own: Pair, data: np.ndarray, marks: np.ndarray) -> dict[str, obje
     coded = array.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     bounds = np.searchsorted(begins, new)
-    aligned = align_segments(own, coded.dictionary)
+    aligned = align_known(own, coded.dictionary)
     valid = filled & (sums(~aligned.whole[codes], bounds) == 0)
     doc_of = np.repeat(np.arange(n), np.diff(bounds))
     kept = valid[doc_of]
@@ -330,7 +361,7 @@ def block_rows(own: Pair, data: np.ndarray, marks: np.ndarray) -> dict[str, obje
     while first < n:  # a few million links at a time
         links_upto = np.r_[0, np.cumsum(n_links[held[edges[first] :] % span])] if first == 0 else links_upto
         done = links_upto[edges[first] - edges[0]]
-        stop = int(np.searchsorted(links_upto[edges - edges[0]], done + (1 << 21), "right")) - 1
+        stop = int(np.searchsorted(links_upto[edges - edges[0]], done + (1 << 19), "right")) - 1
         stop = min(max(stop, first + 1), n)
         some = held[edges[first] : edges[stop]]
         segment = some % span
