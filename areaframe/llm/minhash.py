@@ -316,6 +316,25 @@ def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
     return inner.select("node", "component").union(renamed.select("node", F.coalesce("_to", "component")))
 
 
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHash = MinHash()
+) -> tuple[DataFrame, DataFrame]:
+    """(``id``, ``th``) of the documents that stay when each component keeps one: that with the smallest
+    id, then the smallest hash of its text; ids that are there go before null ones. ``th`` is ``xxhash64`` of the text, so rows that share an id are told
+    apart. Documents without words all stay. The second table has those that stay and stand in the table more than once, words or not counted."""
+    rows, joined = links(docs, id_col, text_col, params)
+    worded = rows.filter("n > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    parts = worded.groupBy("cid").agg(first.alias("rep")).join(joined, F.col("cid") == F.col("node"), "left")
+    best = parts.groupBy(F.coalesce("component", "cid").alias("part")).agg(F.min("rep").alias("rep"))
+    stay = save(best.select("rep.id", "rep.th").union(rows.filter("n = 0").select("id", "th").distinct()), "stay")
+    often = worded.groupBy("id", "th").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+        F.col("id").alias("_id"), F.col("th").alias("_th")
+    )
+    same = (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id"))
+    return stay, save(stay.join(often, same, "left_semi"), "repeated")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHash = MinHash()
 ) -> DataFrame:
