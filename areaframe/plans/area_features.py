@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
     bucketize,
-    code_from_text,
     parse_number,
     ratio,
     round_half_even,
     strip_prefix,
     zero_fill,
 )
-from ..operators.aggregates import mean, summarise, summarise_with_modes, total, total_per_row
 from ..operators.filters import drop_incomplete, keep_matching
-from ..operators.joins import Branch, assemble, bridge_counts
+from ..operators.gather import Part, assemble_parts, mean_of, present, total_of
+from ..operators.joins import Branch, assemble
 from ..operators.projection import percent_to_share, select_columns
-from .common import KEY, Sources, energy_of_year, keyed, keyed_parcels, open_greenstreets, spine
+from .common import (
+    KEY,
+    Sources,
+    energy_of_year,
+    keyed,
+    keyed_parcels,
+    open_greenstreets,
+    parcel_cells,
+    spine,
+)
 
 # Income thresholds and the form of a census area name.
 INCOME_EDGES = (50_000, 100_000, 150_000)
@@ -50,56 +58,65 @@ AREA_COLUMNS = (
 )
 
 
-def greenstreet_acres(sources: Sources) -> DataFrame:
-    return summarise(keyed(open_greenstreets(sources)), KEY, total_acres_greenstreets=total("acres"))
+def greenstreet_part(sources: Sources) -> Part:
+    return Part(
+        keyed(open_greenstreets(sources)),
+        sums={"acres": F.col("acres")},
+        measures={"total_acres_greenstreets": total_of("acres")},
+        fill={"total_acres_greenstreets": 0.0},
+    )
 
 
-def energy_per_building(sources: Sources, year: int) -> DataFrame:
+def energy_part(sources: Sources, year: int) -> Part:
     """Rows that lack a field are dropped before the year is looked at. A field
     that is there but holds no number counts as a building all the same."""
     needed = ["year", "postal_code", "score", "electricity", "green_power", "natural_gas"]
-    buildings = drop_incomplete(select_columns(sources["energy"], needed))
-    return summarise(
-        energy_of_year(buildings, year),
-        KEY,
-        mean_energy_star_score_50k_building=mean(parse_number("score")),
-        electricity_onsite_renew_per_50k_building=total_per_row(parse_number("electricity")),
-        green_power_onsite_per_50k_building=total_per_row(parse_number("green_power")),
-        nat_gas_onsite_per_50k_building=total_per_row(parse_number("natural_gas")),
-    )
-
-
-def parcel_totals(sources: Sources) -> DataFrame:
-    return summarise_with_modes(
-        keyed_parcels(sources["parcels"]),
-        KEY,
-        modes={"borough": "borough"},
-        totals={
-            "buildings": F.col("numbldgs"),
-            "units": F.col("unitsres"),
-            "area": F.col("bldgarea"),
+    buildings = energy_of_year(drop_incomplete(select_columns(sources["energy"], needed)), year)
+    numbers = {f"{c}_sum": parse_number(c) for c in needed[2:]}
+
+    def per_building(name: str) -> Column:
+        return ratio(total_of(name), "energy_rows")
+
+    return Part(
+        buildings,
+        sums={**numbers, "score_count": present(parse_number("score")), "energy_rows": F.lit(1)},
+        measures={
+            "mean_energy_star_score_50k_building": mean_of("score_sum", "score_count"),
+            "electricity_onsite_renew_per_50k_building": per_building("electricity_sum"),
+            "green_power_onsite_per_50k_building": per_building("green_power_sum"),
+            "nat_gas_onsite_per_50k_building": per_building("natural_gas_sum"),
         },
     )
 
 
-def garden_counts(sources: Sources, distinct: bool) -> DataFrame:
-    return bridge_counts(
-        sources["gardens"].withColumn("block", code_from_text("block")),
-        keyed_parcels(sources["parcels"]).withColumn("block", code_from_text("block")),
-        "block",
-        KEY,
-        "num_community_gardens",
-        distinct,
+def parcel_part(sources: Sources, distinct_gardens: bool) -> Part:
+    """Lots and the gardens on their blocks, from one read of the lots."""
+    totals = {"numbldgs": "buildings", "unitsres": "units", "bldgarea": "area"}
+    cells = parcel_cells(
+        keyed_parcels(sources["parcels"]), sources["gardens"], ("borough",), tuple(totals), distinct_gardens
+    )
+    return Part(
+        cells,
+        sums={**{f"{c}_sum": F.col(c) for c in totals}, "gardens": F.col("_gardens")},
+        modes={"borough_mode": "borough"},
+        weight=F.col("_lots"),
+        measures={
+            "borough": F.col("borough_mode"),
+            **{name: total_of(f"{c}_sum") for c, name in totals.items()},
+            "num_community_gardens": total_of("gardens"),
+        },
+        fill={"num_community_gardens": 0},
     )
 
 
-def tree_counts(sources: Sources) -> DataFrame:
+def tree_part(sources: Sources) -> Part:
     """Living trees; the neighbourhood goes by all trees."""
-    return summarise_with_modes(
+    return Part(
         keyed(sources["trees"], "postcode"),
-        KEY,
-        modes={"neighborhood": "nta_name"},
-        totals={"num_trees": F.col("status").eqNullSafe("Alive").cast("bigint")},
+        sums={"alive": F.col("status").eqNullSafe("Alive").cast("bigint")},
+        modes={"nta_mode": "nta_name"},
+        measures={"neighborhood": F.col("nta_mode"), "num_trees": total_of("alive")},
+        fill={"num_trees": 0},
     )
 
 
@@ -131,15 +148,20 @@ def area_features(
 ) -> DataFrame:
     """Final area table. Over a zero denominator a ratio is missing, so the area
     is dropped; ``infinite_ratios`` makes it infinite, so the area stays."""
-    wide = assemble(
+    counted = assemble_parts(
         spine(sources),
         KEY,
         [
-            Branch(greenstreet_acres(sources), {"total_acres_greenstreets": 0.0}),
-            Branch(energy_per_building(sources, year)),
-            Branch(parcel_totals(sources)),
-            Branch(garden_counts(sources, distinct_gardens), {"num_community_gardens": 0}),
-            Branch(tree_counts(sources), {"num_trees": 0}),
+            greenstreet_part(sources),
+            energy_part(sources, year),
+            parcel_part(sources, distinct_gardens),
+            tree_part(sources),
+        ],
+    )
+    wide = assemble(
+        counted,
+        KEY,
+        [
             Branch(college_shares(sources)),
             Branch(justice_shares(sources)),
             Branch(poverty_shares(sources, infinite_ratios)),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import first_five_digits, key_from_number, key_from_text
+from ..functions import code_from_text, first_five_digits, key_from_number, key_from_text
+from ..operators.aggregates import rows, summarise, total
 from ..operators.filters import drop_incomplete, exclude_values, keep_equal
 from ..operators.joins import inner_spine
 
@@ -46,3 +47,25 @@ def keyed_parcels(parcels: DataFrame) -> DataFrame:
     """Lots with a numeric key, for the same reason tested before it is spelled."""
     present = drop_incomplete(parcels, ["postcode"])
     return present.withColumn(KEY, F.coalesce(key_from_number("postcode"), F.lit("")))
+
+
+def parcel_cells(
+    lots: DataFrame, gardens: DataFrame, modes: tuple[str, ...], totals: tuple[str, ...], distinct: bool = False
+) -> DataFrame:
+    """Lots counted by area, block and ``modes``, with sums of ``totals`` and how many gardens lie on the block.
+
+    Everything that lots are asked for can be added up from these cells, so they are read once: ``_lots`` rows stand behind a cell, ``_gardens`` is
+    what it adds to its area, a garden once per lot on its block, or with ``distinct`` once per area. Both sides of
+    the join come straight from an exchange, so a block that holds many lots or links is split."""
+    coded = lots.withColumn("block", code_from_text("block"))
+    cells = coded.groupBy(KEY, "block", *modes).agg(rows().alias("_lots"), *[total(c).alias(c) for c in totals])
+    on_block = summarise(
+        gardens.select(code_from_text("block").alias("block")), "block", _items=rows()
+    ).withColumnRenamed("block", "_block")
+    placed = cells.join(on_block, F.col("block") == F.col("_block"), "left").drop("_block")
+    links = F.col("_lots")
+    if distinct:
+        first = F.row_number().over(Window.partitionBy(KEY, "block").orderBy(*modes))
+        placed = placed.withColumn("_first", first)
+        links = (F.col("_first") == 1).cast("bigint")
+    return placed.withColumn("_gardens", F.coalesce(F.col("_items") * links, F.lit(0).cast("bigint")))

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import code_from_text, encode, parse_number
-from ..operators.aggregates import (
-    histogram,
-    mean,
-    mean_gap,
-    rows,
-    share_of,
-    summarise,
-    summarise_with_modes,
-    total,
-)
+from ..functions import code_from_text, encode, parse_number, ratio
+from ..operators.aggregates import histogram
 from ..operators.filters import drop_incomplete, exclude_containing, exclude_values
-from ..operators.joins import Branch, assemble, bridge_counts
+from ..operators.gather import Part, assemble_parts, mean_of, present, total_of
 from ..operators.projection import select_columns
-from .common import KEY, Sources, energy_of_year, keyed, keyed_parcels, open_greenstreets, spine
+from .common import (
+    KEY,
+    Sources,
+    energy_of_year,
+    keyed,
+    keyed_parcels,
+    open_greenstreets,
+    parcel_cells,
+    spine,
+)
 from .tree_health import GOOD, kept_trees
 
 # Land use codes to groups, group names, borough codes.
@@ -60,90 +60,86 @@ MODEL_COLUMNS = (
 )
 
 
-def greenstreet_measures(sources: Sources) -> DataFrame:
+def greenstreet_part(sources: Sources) -> Part:
     """Streets that name a single area."""
-    streets = keyed(exclude_containing(open_greenstreets(sources), "zipcode", ","))
-    return summarise(
-        streets, KEY, num_greenstreets=rows(), total_acres_greenstreets=total("acres")
+    return Part(
+        keyed(exclude_containing(open_greenstreets(sources), "zipcode", ",")),
+        sums={"streets": F.lit(1), "acres": F.col("acres")},
+        measures={"num_greenstreets": F.col("streets"), "total_acres_greenstreets": total_of("acres")},
+        fill={"num_greenstreets": 0, "total_acres_greenstreets": 0.0},
     )
 
 
-def energy_measures(sources: Sources, year: int) -> DataFrame:
+def energy_part(sources: Sources, year: int) -> Part:
     score, target = parse_number("score"), parse_number("target_score")
-    return summarise(
+    gap = target - score
+    measures = {
+        "mean_energy_star_score_50k": mean_of("score_sum", "score_count"),
+        "mean_gap_energy_star_score_50k": mean_of("gap_sum", "gap_count"),
+        "electricity_onsite_renew_50k": total_of("electricity_sum"),
+        "green_power_onsite_50k": total_of("green_power_sum"),
+    }
+    return Part(
         energy_of_year(sources["energy"], year),
-        KEY,
-        mean_energy_star_score_50k=mean(score),
-        mean_gap_energy_star_score_50k=mean_gap(target, score),
-        electricity_onsite_renew_50k=total(parse_number("electricity")),
-        green_power_onsite_50k=total(parse_number("green_power")),
+        sums={
+            "score_sum": score, "score_count": present(score), "gap_sum": gap, "gap_count": present(gap),
+            "electricity_sum": parse_number("electricity"), "green_power_sum": parse_number("green_power"),
+        },
+        measures=measures,
+        fill={name: 0.0 for name in measures},
     )
 
 
 def used_parcels(sources: Sources) -> DataFrame:
     """Lots with a land use, in one spelling of its code, without the ignored one."""
-    lots = drop_incomplete(sources["parcels"], ["landuse"]).withColumns(
-        {"landuse": code_from_text("landuse", 2), "block": code_from_text("block")}
-    )
+    lots = drop_incomplete(sources["parcels"], ["landuse"]).withColumn("landuse", code_from_text("landuse", 2))
     return keyed_parcels(exclude_values(lots, "landuse", IGNORED_LAND_USE))
 
 
-def parcel_measures(parcels: DataFrame) -> DataFrame:
-    table = summarise_with_modes(
-        parcels,
-        KEY,
-        modes={"most_common_landuse_code": "landuse", "borough": "borough"},
-        totals={"total_units": F.col("unitstotal"), "total_building_areas": F.col("bldgarea")},
+def parcel_part(sources: Sources, distinct_gardens: bool) -> Part:
+    """Lots and the gardens on their blocks, from one read of the lots."""
+    totals = {"unitstotal": "total_units", "bldgarea": "total_building_areas"}
+    cells = parcel_cells(
+        used_parcels(sources), sources["gardens"], ("landuse", "borough"), tuple(totals), distinct_gardens
     )
-    return table.withColumns(
-        {
-            "most_common_landuse_code": encode("most_common_landuse_code", LAND_USE_GROUPS),
-            "borough": encode("borough", BOROUGH_CODES),
-        }
+    return Part(
+        cells,
+        sums={**{f"{c}_sum": F.col(c) for c in totals}, "gardens": F.col("_gardens")},
+        modes={"landuse_mode": "landuse", "borough_mode": "borough"},
+        weight=F.col("_lots"),
+        measures={
+            "most_common_landuse_code": encode("landuse_mode", LAND_USE_GROUPS),
+            "borough": encode("borough_mode", BOROUGH_CODES),
+            **{name: total_of(f"{c}_sum") for c, name in totals.items()},
+            "num_community_gardens": total_of("gardens"),
+        },
+        fill={"total_units": 0.0, "total_building_areas": 0.0, "num_community_gardens": 0},
     )
 
 
-def tree_measures(sources: Sources) -> DataFrame:
-    return summarise(
+def tree_part(sources: Sources) -> Part:
+    return Part(
         keyed(kept_trees(sources["trees"]), "postcode"),
-        KEY,
-        num_trees=rows(),
-        proportion_healthy_trees=share_of("health", GOOD),
+        sums={
+            "trees": F.lit(1),
+            "good": (F.col("health") == GOOD).cast("bigint"),
+            "judged": present(F.col("health")),
+        },
+        measures={"num_trees": F.col("trees"), "proportion_healthy_trees": ratio("good", "judged")},
     )
 
 
 def model_features(
     sources: Sources, year: int = 2022, distinct_gardens: bool = False
 ) -> DataFrame:
-    parcels = used_parcels(sources)
-    gardens = bridge_counts(
-        sources["gardens"].withColumn("block", code_from_text("block")),
-        parcels,
-        "block",
-        KEY,
-        "num_community_gardens",
-        distinct_gardens,
-    )
-    wide = assemble(
+    wide = assemble_parts(
         spine(sources),
         KEY,
         [
-            Branch(
-                greenstreet_measures(sources),
-                {"num_greenstreets": 0, "total_acres_greenstreets": 0.0},
-            ),
-            Branch(
-                energy_measures(sources, year),
-                {
-                    "mean_energy_star_score_50k": 0.0,
-                    "mean_gap_energy_star_score_50k": 0.0,
-                    "electricity_onsite_renew_50k": 0.0,
-                    "green_power_onsite_50k": 0.0,
-                },
-            ),
-            Branch(parcel_measures(parcels), {"total_units": 0.0, "total_building_areas": 0.0}),
-            Branch(gardens, {"num_community_gardens": 0}),
-            Branch(tree_measures(sources)),
+            greenstreet_part(sources),
+            energy_part(sources, year),
+            parcel_part(sources, distinct_gardens),
+            tree_part(sources),
         ],
     )
     return select_columns(wide, MODEL_COLUMNS).withColumn(KEY, F.col(KEY).cast("int"))
