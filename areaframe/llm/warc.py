@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer, and a reader of what it commits.
 
-Records are range-sorted, so a shard is a range of ids and the same table gives the same
-archives. Tasks write under temporary names, roll to a new file by compressed size and
+Records are range-sorted. Shards are cut where the bytes of all smaller ids pass a multiple of a
+shard's size, which follows from the table alone, so the same table gives the same
+archives however it is dealt over tasks and cores. Tasks write under temporary names, roll to a new file by compressed size and
 report what they wrote; Spark's own commit keeps the report of one attempt per task. Only
 files in that manifest are given their final names, and only they are read, so what a
 failed or doubled attempt leaves behind is never seen.
@@ -15,11 +16,12 @@ import io
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import spread_join
@@ -59,8 +61,8 @@ def plan_records(
         .select(
             "id", F.col("url").cast("string").alias("url"), "payload",
             F.length("payload").cast("bigint").alias("size"), F.sha1("payload").alias("sha1"),
-            # Both digests together say that payloads are equal.
-            F.xxhash64(F.sha2("payload", 256), F.sha1("payload"), F.length("payload")).alias("body"),
+            # Equal payloads are told by this digest itself.
+            F.sha2("payload", 256).alias("body"),
         ),
         "records",
     )
@@ -121,24 +123,68 @@ def _packed(data: bytes, level: int) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+Key = tuple[bool, object, int]
+
+
+def shard_starts(records: DataFrame, shard_bytes: int) -> list[Key]:
+    """The first key, (has an id, id, hash of the url), of every shard but the first, in order.
+
+    A shard begins where the payload bytes of all smaller keys pass a multiple of ``shard_bytes``. Keys are sorted by ranges, sums of
+    ranges added up, and each key gets what lies before it: exact, so where the ranges happened to be cut does not matter. A key
+    for each ``shard_bytes`` reaches the driver and goes to every task, 4 MB for 100 TB and the default size."""
+    total = records.agg(F.sum("size")).first()[0] or 0
+    if total <= shard_bytes:
+        return []
+    keys = records.groupBy("id", F.xxhash64("url").alias("u")).agg(F.sum("size").alias("size"))
+    ranged = keys.repartitionByRange(-(-total // shard_bytes), "id", "u").withColumn("range", F.spark_partition_id())
+    ranged = save(ranged, "keys")
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = save(sums.select("range", before.alias("_offset")), "offsets")
+    within = Window.partitionBy("range").orderBy("id", "u").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, "range")
+    shard = F.floor((F.col("_offset") + F.col("_within")) / F.lit(shard_bytes)).cast("bigint")
+    firsts = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct("id", "u")).alias("first"))
+    listed = sorted((r["shard"], r["first"]["id"], r["first"]["u"]) for r in firsts.filter("shard > 0").collect())
+    return [_key(i, u) for _, i, u in listed]
+
+
+def _key(page, url_hash: int) -> Key:
+    return (page is not None, 0 if page is None else page, url_hash)
+
+
+def sharded(records: DataFrame, starts: list[Key]) -> DataFrame:
+    """``records`` with the number of their shard."""
+    kinds = dict(records.dtypes)
+    names = ["id", "url", "payload", "sha1", "refers_to"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = (batch.column(k).to_pylist() for k in (0, 5))
+            numbers = [bisect_right(starts, _key(i, u)) for i, u in zip(ids, hashes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(numbers, pa.int32())], names=[*names, "shard"])
+
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", shard int"
+    return records.select(*names, F.xxhash64("url").alias("_u")).mapInArrow(task, schema)
+
+
 def write_archives(
-    records: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes: int = 32 << 20, level: int = 6
+    records: DataFrame, folder: str, shard_bytes: int = 128 << 20, roll_bytes: int = 16 << 20, level: int = 6
 ) -> DataFrame:
     """Writes what :func:`plan_records` gives to ``folder`` and returns the manifest.
 
     Range-sorted by id, in shards of about ``shard_bytes`` of payload; a file is closed when
-    it has ``roll_bytes`` compressed bytes, so no file is larger than that and one record.
+    it has ``roll_bytes`` compressed bytes, so no file is larger than that and one record. Names, contents and digests of
+    the files follow from the table and these sizes.
     """
-    spark = records.sparkSession
-    total = records.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
+    starts = shard_starts(records, shard_bytes)
+    shards = len(starts) + 1
     mark = uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _store(folder)
         context = TaskContext.get()
-        shard = context.partitionId()
-        part, sink, temporary = 0, None, ""
+        shard, part, sink, temporary = -1, 0, None, ""
         count = size = 0
         first = last = None
         sums = hashlib.sha256()
@@ -153,7 +199,11 @@ def write_archives(
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
-                page, url, payload, sha1, refers = (c[i].as_py() for c in columns)
+                page, url, payload, sha1, refers, own = (c[i].as_py() for c in columns)
+                if own != shard:
+                    if sink is not None:
+                        yield close()
+                    shard, part, sink = own, 0, None
                 packed = _packed(record(page, url, payload, sha1, refers), level)
                 if sink is None:
                     temporary = f"_temporary/{mark}/{shard}-{part}-{context.attemptNumber()}-{uuid.uuid4().hex}"
@@ -170,12 +220,9 @@ def write_archives(
         if sink is not None:
             yield close()
 
-    columns = ["id", "url", "payload", "sha1", "refers_to"]
-    sorted_rows = records.select(*columns, F.xxhash64("url").alias("_u")).repartitionByRange(
-        int(shards), "id", "_u"
-    ).sortWithinPartitions("id", "url", "sha1").select(*columns)
-    manifest = save(sorted_rows.mapInArrow(task, MANIFEST), "manifest")
-    return commit(manifest, folder)
+    # A shard is whole in one task; a task may have several, one after the other.
+    dealt = sharded(records, starts).repartition(shards, "shard").sortWithinPartitions("shard", "id", "url", "sha1", "refers_to")
+    return commit(save(dealt.mapInArrow(task, MANIFEST), "manifest"), folder)
 
 
 def commit(manifest: DataFrame, folder: str) -> DataFrame:
@@ -240,9 +287,11 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                     if own != head["WARC-Block-Digest"] or not revisit and hashlib.sha1(block).hexdigest() != digest:
                         raise ValueError(f"{file}: the digest of {head['WARC-Record-ID']} differs")
                     key, refers = head["X-Record-Key"], head.get("X-Refers-To-Key")
+                    if not revisit and len(block) != int(head["X-Payload-Length"]):
+                        raise ValueError(f"{file}: the length of {head['WARC-Record-ID']} differs")
                     rows.append((
                         None if key == "none" else key, head["WARC-Type"], head.get("WARC-Target-URI"),
-                        block if payloads else None, int(head["X-Payload-Length"]), digest, refers, file,
+                        block if payloads else None, int(head["X-Payload-Length"]) if revisit else len(block), digest, refers, file,
                     ))
                     held += len(block) if payloads else 64
                     if held > 4 << 20:
