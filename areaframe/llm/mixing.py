@@ -4,7 +4,8 @@ A source's target is met by taking each of its documents ``floor(target / size)`
 balanced sample of them once more. The sample's inclusion probabilities walk through the
 null space of two constraints, the source's words and its documents, until every one is
 0 or 1. Blocks of documents walk at the same time; each leaves at most two undecided,
-which meet in fewer blocks on the next level, down to one landing per source.
+which meet in fewer blocks on the next level, down to one landing per source. A few hundred documents of a large source wait
+for that last level: the two left over may be large, and what settling them costs is made up by turning the choice of smaller ones.
 """
 
 from __future__ import annotations
@@ -105,15 +106,20 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return np.array(p)
 
 
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+def land(p: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The last few (two at most after a flight): of all outcomes the one whose words are
-    nearest what is due, then whose documents are."""
+    nearest what is due, then whose documents are. Then, from large to small, a choice is turned wherever that brings the words
+    nearer to those of ``start``, the probabilities before the flight."""
     open_at = np.flatnonzero((p > 0) & (p < 1))
-    if not len(open_at):
-        return p
-    outcomes = [np.array(list(np.binary_repr(i, len(open_at))), float) for i in range(2 ** len(open_at))]
-    due, own = p[open_at], size[open_at]
-    p[open_at] = min(outcomes, key=lambda o: (abs(((o - due) * own).sum()), abs((o - due).sum())))
+    if len(open_at):
+        outcomes = [np.array(list(np.binary_repr(i, len(open_at))), float) for i in range(2 ** len(open_at))]
+        due, own = p[open_at], size[open_at]
+        p[open_at] = min(outcomes, key=lambda o: (abs(((o - due) * own).sum()), abs((o - due).sum())))
+    miss = float(((p - start) * size).sum())
+    for i in np.lexsort((start, -size)).tolist():
+        change = float(size[i]) * (1 - 2 * p[i])
+        if abs(miss + change) < abs(miss) - 1e-6:
+            p[i], miss = 1 - p[i], miss + change
     return p
 
 
@@ -125,37 +131,48 @@ def _level(block: int):
             p, size = table["p"].to_numpy().copy(), table["weight"].to_numpy()
             last = table["blocks"].to_numpy() == 1
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(units)]):
-                rng = np.random.default_rng(int(units[s]) & (2**63 - 1))
+                rng, start = np.random.default_rng(int(units[s]) & (2**63 - 1)), p[s:e].copy()
                 p[s:e] = fly(p[s:e], size[s:e], rng)
                 if last[s]:
-                    p[s:e] = land(p[s:e], size[s:e])
+                    p[s:e] = land(p[s:e], size[s:e], start)
             out = table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
-            yield from out.select(["key", "source", "weight", "p"]).to_batches()
+            yield from out.select(["key", "source", "weight", "p", "late"]).to_batches()
 
     return task
 
 
-def balanced_sample(units: DataFrame, block: int = 2048) -> DataFrame:
+def balanced_sample(units: DataFrame, block: int = 2048, waiting: int = 256) -> DataFrame:
     """(key, chosen 0 or 1) for rows (key, source, weight, p), balanced on weight and count within
-    each source. Blocks are dealt by a hash of the key, so a large source is many of them."""
-    held, done = units, None
+    each source. Blocks are dealt by a hash of the key, so a large source is many of them. About ``waiting`` documents of a source
+    of more than one block wait for its last level."""
+    open_units = units.filter("p > 0 AND p < 1")
+    many = save(open_units.groupBy(F.col("source").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / waiting).alias("_share"), (F.count(F.lit(1)) > block).alias("_many")), "shares")
+    late = F.col("_many") & (F.pmod(F.xxhash64("key", F.lit(37)), F.col("_share")) == 0)
+    held = save(
+        open_units.join(many, F.col("source").eqNullSafe(F.col("_s"))).select("key", "source", "weight", "p", late.alias("late")), "open"
+    )
+    done = None
     for _ in range(40):
         open_rows = held.filter("p > 0 AND p < 1")
-        counts = save(open_rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "counts")
+        blocks = F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("late")) / block)).cast("int")
+        counts = save(open_rows.groupBy("source").agg(blocks.alias("blocks")), "counts")
         if counts.isEmpty():
             break
         # One row per source on the right, few beside the units: sources are not documents.
         dealt = open_rows.join(
             counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))
-        ).withColumn(
+        )
+        wait = dealt.filter("late AND blocks > 1").select("key", "source", "weight", "p", "late")
+        walk = dealt.filter("NOT (late AND blocks > 1)").withColumn(
             "unit", F.xxhash64("source", F.pmod(F.xxhash64("key", F.lit(29)), F.col("blocks")))
         )
         flown = (
-            dealt.select("unit", "key", "source", "weight", "p", "blocks")
-            .repartition("unit").sortWithinPartitions("unit", F.xxhash64("key", F.lit(31)), "key")
-            .mapInArrow(_level(block), f"key bigint, source {units.schema['source'].dataType.simpleString()}, weight bigint, p double")
+            walk.select("unit", "key", "source", "weight", "p", "blocks", "late")
+            # Large documents go first, among their like: what lands is more often small.
+            .repartition("unit").sortWithinPartitions("unit", F.desc("weight"), F.xxhash64("key", F.lit(31)), "key")
+            .mapInArrow(_level(block), f"key bigint, source {units.schema['source'].dataType.simpleString()}, weight bigint, p double, late boolean")
         )
-        held = save(flown, "flown")
+        held = save(flown.union(wait), "flown")
         settled = held.filter("p = 0 OR p = 1").select("key", F.col("p").cast("int").alias("chosen"))
         done = settled if done is None else done.union(settled)
     fixed = units.filter("p = 0 OR p = 1").select("key", F.col("p").cast("int").alias("chosen"))
@@ -168,6 +185,9 @@ def mix_sources(
 ) -> DataFrame:
     """``sized`` with ``source_size``, ``target`` and ``times``, how often the mix takes each row.
 
+    A source's taken words miss its target by what the last level could not make up: less than a small document wherever a
+    source has some to turn, more where it has but a few large ones.
+
     Defined cases: rows that agree in id, source and size are taken or left together. A null
     source is a source of its own, the last; a null id is an id; a null size is 0. Sources
     without words have target 0 and are not taken. Computed columns take the place of
