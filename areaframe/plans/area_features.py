@@ -13,7 +13,8 @@ from ..functions import (
     strip_prefix,
     zero_fill,
 )
-from ..operators.filters import drop_incomplete, keep_matching
+from ..operators.accounts import Accounts, NoAccounts
+from ..operators.filters import keep_matching
 from ..operators.gather import Part, assemble_parts, mean_of, present, total_of
 from ..operators.joins import Branch, assemble
 from ..operators.projection import percent_to_share, select_columns
@@ -58,20 +59,21 @@ AREA_COLUMNS = (
 )
 
 
-def greenstreet_part(sources: Sources) -> Part:
+def greenstreet_part(sources: Sources, accounts: Accounts) -> Part:
     return Part(
-        keyed(open_greenstreets(sources)),
+        keyed(open_greenstreets(sources, accounts)),
         sums={"acres": F.col("acres")},
         measures={"total_acres_greenstreets": total_of("acres")},
         fill={"total_acres_greenstreets": 0.0},
     )
 
 
-def energy_part(sources: Sources, year: int) -> Part:
+def energy_part(sources: Sources, year: int, accounts: Accounts) -> Part:
     """Rows that lack a field are dropped before the year is looked at. A field
     that is there but holds no number counts as a building all the same."""
     needed = ["year", "postal_code", "score", "electricity", "green_power", "natural_gas"]
-    buildings = energy_of_year(drop_incomplete(select_columns(sources["energy"], needed)), year)
+    complete = accounts.keep_complete(select_columns(sources["energy"], needed), "incomplete buildings")
+    buildings = energy_of_year(complete, year)
     numbers = {f"{c}_sum": parse_number(c) for c in needed[2:]}
 
     def per_building(name: str) -> Column:
@@ -145,15 +147,17 @@ def area_features(
     year: int = 2022,
     distinct_gardens: bool = False,
     infinite_ratios: bool = False,
+    accounts: Accounts = NoAccounts(),
 ) -> DataFrame:
     """Final area table. Over a zero denominator a ratio is missing, so the area
-    is dropped; ``infinite_ratios`` makes it infinite, so the area stays."""
+    is dropped; ``infinite_ratios`` makes it infinite, so the area stays. ``accounts``
+    gets what each step drops once the table has been run."""
     counted = assemble_parts(
         spine(sources),
         KEY,
         [
-            greenstreet_part(sources),
-            energy_part(sources, year),
+            greenstreet_part(sources, accounts),
+            energy_part(sources, year, accounts),
             parcel_part(sources, distinct_gardens),
             tree_part(sources),
         ],
@@ -174,4 +178,4 @@ def area_features(
             "average_building_area": ratio("area", "buildings", infinite_ratios),
         }
     )
-    return drop_incomplete(select_columns(full, AREA_COLUMNS))
+    return accounts.keep_complete(select_columns(full, AREA_COLUMNS), "incomplete areas")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import code_from_text, first_five_digits, key_from_number, key_from_text
+from ..operators.accounts import Accounts
 from ..operators.aggregates import rows, summarise, total
 from ..operators.filters import drop_incomplete, exclude_values, keep_equal
 from ..operators.joins import inner_spine
@@ -34,8 +35,11 @@ def spine(sources: Sources) -> DataFrame:
     return inner_spine(KEY, *parts)
 
 
-def open_greenstreets(sources: Sources) -> DataFrame:
-    return exclude_values(sources["greenstreets"], "status", "Retired", "Archived")
+def open_greenstreets(sources: Sources, accounts: Accounts) -> DataFrame:
+    return accounts.through(
+        sources["greenstreets"], "closed greenstreets",
+        lambda streets: exclude_values(streets, "status", "Retired", "Archived"), ["status"],
+    )
 
 
 def energy_of_year(energy: DataFrame, year: int) -> DataFrame:

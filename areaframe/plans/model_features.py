@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code_from_text, encode, parse_number, ratio
+from ..operators.accounts import Accounts, NoAccounts
 from ..operators.aggregates import histogram
-from ..operators.filters import drop_incomplete, exclude_containing, exclude_values
+from ..operators.filters import exclude_containing, exclude_values
 from ..operators.gather import Part, assemble_parts, mean_of, present, total_of
 from ..operators.projection import select_columns
 from .common import (
@@ -60,10 +61,14 @@ MODEL_COLUMNS = (
 )
 
 
-def greenstreet_part(sources: Sources) -> Part:
+def greenstreet_part(sources: Sources, accounts: Accounts) -> Part:
     """Streets that name a single area."""
+    single = accounts.through(
+        open_greenstreets(sources, accounts), "greenstreets of several areas",
+        lambda streets: exclude_containing(streets, "zipcode", ","), ["zipcode"],
+    )
     return Part(
-        keyed(exclude_containing(open_greenstreets(sources), "zipcode", ",")),
+        keyed(single),
         sums={"streets": F.lit(1), "acres": F.col("acres")},
         measures={"num_greenstreets": F.col("streets"), "total_acres_greenstreets": total_of("acres")},
         fill={"num_greenstreets": 0, "total_acres_greenstreets": 0.0},
@@ -90,17 +95,21 @@ def energy_part(sources: Sources, year: int) -> Part:
     )
 
 
-def used_parcels(sources: Sources) -> DataFrame:
+def used_parcels(sources: Sources, accounts: Accounts) -> DataFrame:
     """Lots with a land use, in one spelling of its code, without the ignored one."""
-    lots = drop_incomplete(sources["parcels"], ["landuse"]).withColumn("landuse", code_from_text("landuse", 2))
-    return keyed_parcels(exclude_values(lots, "landuse", IGNORED_LAND_USE))
+    known = accounts.keep_complete(sources["parcels"], "lots without land use", ["landuse"])
+    lots = accounts.through(
+        known.withColumn("landuse", code_from_text("landuse", 2)), "lots of ignored land use",
+        lambda lots: exclude_values(lots, "landuse", IGNORED_LAND_USE),
+    )
+    return keyed_parcels(lots)
 
 
-def parcel_part(sources: Sources, distinct_gardens: bool) -> Part:
+def parcel_part(sources: Sources, distinct_gardens: bool, accounts: Accounts) -> Part:
     """Lots and the gardens on their blocks, from one read of the lots."""
     totals = {"unitstotal": "total_units", "bldgarea": "total_building_areas"}
     cells = parcel_cells(
-        used_parcels(sources), sources["gardens"], ("landuse", "borough"), tuple(totals), distinct_gardens
+        used_parcels(sources, accounts), sources["gardens"], ("landuse", "borough"), tuple(totals), distinct_gardens
     )
     return Part(
         cells,
@@ -117,9 +126,10 @@ def parcel_part(sources: Sources, distinct_gardens: bool) -> Part:
     )
 
 
-def tree_part(sources: Sources) -> Part:
+def tree_part(sources: Sources, accounts: Accounts) -> Part:
+    trees = accounts.through(sources["trees"], "trees that contradict themselves", kept_trees, ["health", "status"])
     return Part(
-        keyed(kept_trees(sources["trees"]), "postcode"),
+        keyed(trees, "postcode"),
         sums={
             "trees": F.lit(1),
             "good": (F.col("health") == GOOD).cast("bigint"),
@@ -130,16 +140,17 @@ def tree_part(sources: Sources) -> Part:
 
 
 def model_features(
-    sources: Sources, year: int = 2022, distinct_gardens: bool = False
+    sources: Sources, year: int = 2022, distinct_gardens: bool = False, accounts: Accounts = NoAccounts()
 ) -> DataFrame:
+    """One row per area of the spine. ``accounts`` gets what each step drops once the table has been run."""
     wide = assemble_parts(
         spine(sources),
         KEY,
         [
-            greenstreet_part(sources),
+            greenstreet_part(sources, accounts),
             energy_part(sources, year),
-            parcel_part(sources, distinct_gardens),
-            tree_part(sources),
+            parcel_part(sources, distinct_gardens, accounts),
+            tree_part(sources, accounts),
         ],
     )
     return select_columns(wide, MODEL_COLUMNS).withColumn(KEY, F.col(KEY).cast("int"))

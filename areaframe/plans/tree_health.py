@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import encode
+from ..operators.accounts import Accounts, NoAccounts
 from ..operators.aggregates import contingency_shares, rows, share_of, summarise
 from ..operators.filters import drop_missing_and_equal
 from ..operators.projection import drop_columns
@@ -22,10 +23,12 @@ def kept_trees(trees: DataFrame) -> DataFrame:
     )
 
 
-def health_profile(trees: DataFrame, key: str = "postcode") -> DataFrame:
-    """Number of trees and the share of each state."""
+def health_profile(
+    trees: DataFrame, key: str = "postcode", accounts: Accounts = NoAccounts()
+) -> DataFrame:
+    """Number of trees and the share of each state. ``accounts`` gets how many trees were left out."""
     return summarise(
-        kept_trees(trees),
+        accounts.through(trees, "trees that contradict themselves", kept_trees, ["health", "status"]),
         key,
         treeCount=rows(),
         deadProportion=share_of("health", DEAD),

@@ -1,6 +1,6 @@
 """Every operator bound to the given tables, with an oracle where SQL can say it."""
 
-from . import cleaning, grouped, jobs, scoring
+from . import cleaning, grouped, jobs, records, scoring
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cleaning", "grouped", "jobs", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "cleaning", "grouped", "jobs", "records", "scoring"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.missing import as_column, nan_to_null, tokens_to_null
 from ..operators.projection import select_positions
+from .rejects import Checked, read_checked
 from .schemas import SOURCES, TREE_COLUMNS, TREE_POSITIONS, SourceSpec
 
 
@@ -71,9 +73,24 @@ def read_tree_census(spark: SparkSession, path: str, multi_line: bool = True) ->
     return typed(raw, T.StructType([T.StructField(name, T.StringType()) for name in TREE_COLUMNS]))
 
 
-def read_sources(spark: SparkSession, folder: str, form: str = "csv") -> dict[str, DataFrame]:
-    """All sources of the area jobs from one folder, lazily."""
+def read_sources(
+    spark: SparkSession, folder: str, form: str = "csv", multi_line: bool | Mapping[str, bool] = True
+) -> dict[str, DataFrame]:
+    """All sources of the area jobs from one folder, lazily. ``multi_line`` may say for single sources whether fields hold line breaks;
+    those without are read by many tasks per file."""
+    broken = multi_line if isinstance(multi_line, Mapping) else dict.fromkeys(SOURCES, multi_line)
     return {
-        name: read_source(spark, os.path.join(folder, spec.file), spec, form)
+        name: read_source(spark, os.path.join(folder, spec.file), spec, form, broken.get(name, True))
+        for name, spec in SOURCES.items()
+    }
+
+
+def read_sources_checked(
+    spark: SparkSession, folder: str, multi_line: bool | Mapping[str, bool] = True
+) -> dict[str, Checked]:
+    """As :func:`read_sources`, from CSV, with bad records set aside instead of stopping the job."""
+    broken = multi_line if isinstance(multi_line, Mapping) else dict.fromkeys(SOURCES, multi_line)
+    return {
+        name: read_checked(spark, os.path.join(folder, spec.file), spec, broken.get(name, True))
         for name, spec in SOURCES.items()
     }
