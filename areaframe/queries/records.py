@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.accounts import Accounts
+from ..sources.ordered import file_numbers
 from ..sources.rejects import SURPLUS_REASON, parse_lines, to_lines
 from .registry import LABELLED, labelled_documents, query, table
 
@@ -71,3 +72,14 @@ def rows_accounted_for(spark: SparkSession, folder: str) -> DataFrame:
     own = accounts.keep(judged, "foreign", F.col("lang") == "en")
     own.groupBy("source").count().write.format("noop").mode("overwrite").save()
     return accounts.table(spark)
+
+
+@query(
+    "WITH k AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, o_orderstatus, "
+    "CAST(coalesce(sum(n) OVER (ORDER BY o_custkey, o_orderstatus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500 AS INTEGER) "
+    "AS file FROM k"
+)
+def ordered_file_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Which file of the ordered sink each key of all orders goes to."""
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderstatus")
+    return file_numbers(orders, ["o_custkey", "o_orderstatus"], 500, "file").drop("_n")

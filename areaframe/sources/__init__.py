@@ -1,5 +1,6 @@
 """Reading sources with declared schemas and writing results."""
 
+from .ordered import manifest, write_ordered_csv
 from .reader import read_csv, read_source, read_sources, read_sources_checked, read_tree_census, typed
 from .rejects import Checked, parse_lines, read_checked, to_lines
 from .schemas import SOURCES, TREE_COLUMNS, TREE_POSITIONS, SourceSpec
@@ -11,6 +12,7 @@ __all__ = [
     "SourceSpec",
     "TREE_COLUMNS",
     "TREE_POSITIONS",
+    "manifest",
     "parse_lines",
     "read_checked",
     "read_csv",
@@ -21,5 +23,6 @@ __all__ = [
     "to_lines",
     "typed",
     "write_csv",
+    "write_ordered_csv",
     "write_parquet",
 ]
