@@ -72,10 +72,18 @@ class CuckooFilter:
         return not len(prints)
 
     def remove(self, keys: np.ndarray) -> None:
-        prints, first, second = self._places(keys)
-        for mark, a, b in zip(prints, first, second):
-            for bucket in (a, b):
-                found = np.flatnonzero(self.table[bucket] == mark)
-                if len(found):
-                    self.table[bucket, found[0]] = 0
-                    break
+        """Clears one print for each key, in its first bucket or else in its second. Keys that share bucket and print
+        clear as many."""
+        prints, at, second = self._places(keys)
+        for _ in range(2):
+            order = np.lexsort((prints, at))
+            prints, at, second = prints[order], at[order], second[order]
+            index = np.arange(len(at))
+            opens = np.r_[True, (at[1:] != at[:-1]) | (prints[1:] != prints[:-1])][: len(at)]
+            rank = index - np.maximum.accumulate(np.where(opens, index, 0)) if len(at) else index
+            held = self.table[at] == prints[:, None]
+            own = held & (np.cumsum(held, axis=1) == rank[:, None] + 1)
+            found = own.any(axis=1)
+            self.table[at[found], own[found].argmax(axis=1)] = 0
+            prints, second = prints[~found], second[~found]
+            at = second

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from .words import Hasher, code_points, line_spans, strip
 
 LEAST = 10
 KEY = ["k1", "k2"]
+KEYS_PER_SHARD = 100_000
 
 
 def _keys(data: np.ndarray, marks: np.ndarray, least: int):
@@ -65,12 +67,13 @@ def line_references(docs: DataFrame, id_col: str, text_col: str, least: int = LE
 @dataclass(frozen=True)
 class LineIndex:
     """``deltas``: signed reference counts, one table per change; their sum is the exact
-    table. ``filters``: (shard, bits). ``shards`` should grow with the corpus, some
-    100,000 keys each; :func:`compacted` sets it anew."""
+    table. ``filters``: (shard, bits). ``shards`` goes by the keys of the first insert, ``KEYS_PER_SHARD`` each, and
+    :func:`compacted` sets it anew. ``taken_back``: whether any document was deleted."""
 
     deltas: tuple[DataFrame, ...]
     filters: DataFrame
     shards: int
+    taken_back: bool = False
 
     def references(self) -> DataFrame:
         """The exact table."""
@@ -83,16 +86,16 @@ class LineIndex:
 
     def shared(self) -> DataFrame:
         """Keys that two or more documents hold, with the smallest of these."""
-        if len(self.deltas) == 1:
-            # Nothing was taken back: minima and maxima do, without a row per document.
-            rows = self.deltas[0]
-        else:
+        if self.taken_back:
             rows = self.references()
+        else:
+            # Minima and maxima do, without a row per document.
+            rows = reduce(DataFrame.union, self.deltas)
         held = rows.groupBy(*KEY).agg(F.min("id").alias("owner"), F.max("id").alias("_last"))
         return held.filter("owner != _last").select(*KEY, "owner")
 
 
-def empty_index(spark: SparkSession, id_type: str = "bigint", shards: int = 64) -> LineIndex:
+def empty_index(spark: SparkSession, id_type: str = "bigint", shards: int = 1) -> LineIndex:
     none = spark.createDataFrame([], f"k1 bigint, k2 bigint, id {id_type}, n bigint")
     return LineIndex((none,), spark.createDataFrame([], "shard int, bits binary"), shards)
 
@@ -128,7 +131,8 @@ def _filtered(keys: DataFrame, index: LineIndex, what: str) -> DataFrame:
 
 
 def _built(keys: np.ndarray) -> CuckooFilter:
-    room = max(64, len(keys))
+    """A filter with room for as many keys again, so that batches to come rarely ask for a larger one."""
+    room = max(64, 2 * len(keys))
     while True:
         filled = CuckooFilter.sized(room)
         if filled.insert(keys):
@@ -140,6 +144,8 @@ def insert(index: LineIndex, references: DataFrame) -> LineIndex:
     """Takes in the references of new documents (from :func:`line_references`)."""
     added = save(references, "references")
     keys = save(added.select(*KEY).distinct(), "keys")
+    if index.filters.isEmpty():
+        index = replace(index, shards=max(1, -(-2 * keys.count() // KEYS_PER_SHARD)))
     maybe = save(_filtered(keys, index, "probe"), "maybe")
     if maybe.isEmpty():
         fresh = keys
@@ -160,19 +166,19 @@ def delete(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -> LineInde
         index.references().join(gone, "id", "left_semi").select(*KEY, "id", (-F.col("n")).alias("n")),
         "references",
     )
-    changed = replace(index, deltas=(*index.deltas, lost))
+    changed = replace(index, deltas=(*index.deltas, lost), taken_back=True)
     touched = lost.select(*KEY).distinct()
     left = changed.references().join(touched, KEY, "left_semi").select(*KEY).distinct()
     dead = touched.join(left, KEY, "left_anti")
     return replace(changed, filters=save(_filtered(dead, index, "remove"), "filters"))
 
 
-def compacted(index: LineIndex, keys_per_shard: int = 100_000) -> LineIndex:
+def compacted(index: LineIndex) -> LineIndex:
     """One table of references, and filters built from it with shards to its measure."""
     rows = save(index.references(), "references")
     keys = save(rows.select(*KEY).distinct(), "keys")
-    shards = max(1, -(-keys.count() // keys_per_shard))
-    new = LineIndex((rows,), index.filters.limit(0), shards)
+    shards = max(1, -(-2 * keys.count() // KEYS_PER_SHARD))
+    new = LineIndex((rows,), index.filters.limit(0), shards, index.taken_back)
     return replace(new, filters=save(_filtered(keys, new, "insert"), "filters"))
 
 
@@ -226,8 +232,11 @@ def dedup_lines(
     its lines never drop each other. ``n_lines`` and ``n_dropped`` take the place of
     columns of these names; other columns pass through. An empty table stays empty.
     """
-    references = line_references(docs, id_col, text_col, least)
-    kind = docs.schema[id_col].dataType.simpleString()
-    index = insert(empty_index(docs.sparkSession, kind), references)
+    references = save(line_references(docs, id_col, text_col, least), "all")
+    index = empty_index(docs.sparkSession, docs.schema[id_col].dataType.simpleString())
+    # In two batches: the second's keys are asked of the filters that the first has filled.
+    half = F.pmod(F.xxhash64("id", F.lit(43)), F.lit(2))
+    for batch in range(2):
+        index = insert(index, references.filter(half == batch))
     shared = save(index.shared(), "shared")
-    return drop_lines(docs, shared, index.deltas[-1], id_col, text_col, least)
+    return drop_lines(docs, shared, references, id_col, text_col, least)
