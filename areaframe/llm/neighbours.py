@@ -13,7 +13,6 @@ group needs no list of all its pairs.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ from .shared import runs, save
 class Descent:
     """``least``: cosine of a link. ``listed``: length of a neighbour list; ``trees`` random
     hyperplane orders start it. ``audited``: nodes compared with all others for ``recall``; ``more``: how
-    often fresh orders are added while it is short."""
+    often fresh orders are added while it is short; ``dealt``: nodes in a partition of an order at most."""
 
     least: float = 0.93
     listed: int = 8
@@ -40,7 +39,8 @@ class Descent:
     audited: int = 200
     recall: float = 0.99
     block: int = 256
-    more: int = 3
+    more: int = 8
+    dealt: int = 4096
 
 
 def _units(column: pa.ChunkedArray) -> np.ndarray:
@@ -113,7 +113,12 @@ def _best_within(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray,
 
 
 def _start(nodes: DataFrame, p: Descent, since: int = 0) -> DataFrame:
-    """First lists, by the orders from number ``since``: in each random hyperplane order of a space, companies of nodes side by side."""
+    """First lists, by the orders from number ``since``: in each random hyperplane order of a space, companies of nodes side by side.
+
+    Partitions go by rows: some thousands at most, which is what a task holds, and some companies at least, so that a small table is not dealt
+    into pieces of single nodes."""
+    rows, cores = nodes.count(), nodes.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-rows // p.dealt), min(2 * cores, rows // 512))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "space"):
@@ -143,7 +148,6 @@ def _start(nodes: DataFrame, p: Descent, since: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=["node", "space", "unit", "code"])
 
         slim = nodes.select("node", "space", "unit").mapInArrow(code, "node bigint, space bigint, unit binary, code bigint")
-        parts = max(1, nodes.sparkSession.sparkContext.defaultParallelism * 2)
         # Ranges of (space, code): a space, however large, is many partitions.
         return slim.repartitionByRange(parts, "space", "code", "node").sortWithinPartitions("space", "code", "node").select(
             "node", "space", "unit"
@@ -359,7 +363,7 @@ def near_vectors(
 
     Defined cases: a vector that is null, empty, zero or holds null or non-finite components, or whose
     label is null, links with nothing. Copies link with each other. Vectors of different
-    width never link. A null id counts as a vector and names no component while another id is
+    width never link. A recall that stays short after all fresh orders stops the job. A null id counts as a vector and names no component while another id is
     there. Rows that share an id are vectors each. An empty table gives no rows.
     """
     p = params
@@ -416,7 +420,7 @@ def near_vectors(
         if report["recall"] >= p.recall:
             break
     if report["recall"] < p.recall:
-        warnings.warn(f"near_vectors: audited recall {report['recall']:.4f} is below {p.recall}", stacklevel=2)
+        raise RuntimeError(f"audited recall {report['recall']:.4f} stays below {p.recall}: more rounds, orders or longer lists are needed")
     if report["recall"] < 1:
         # What the audit found is true as well.
         links = save(links.union(truth), "links")

@@ -81,3 +81,12 @@ def test_clumps_larger_than_a_list_that_only_weaker_links_join(spark, block):
     listed = found.collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in listed} == plain(rows)
     assert len({r.component_id for r in listed}) == 4
+
+
+@pytest.mark.parametrize("count, size, partitions", [(3, 2, 1), (3, 2, 64), (40, 5, 7)])
+def test_descent_alone_finds_the_links(spark, count, size, partitions):
+    """Without an audit, on tables of a few rows and more, however they are dealt."""
+    rows = [(i, v, label) for i, (v, label) in enumerate(families(9, count, size, 0.12) + families(10, 2, 1, 0.0))]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(partitions)
+    found, _ = near_vectors(frame, params=Descent(audited=0))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == plain(rows)
