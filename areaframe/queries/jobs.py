@@ -15,9 +15,13 @@ from ..plans import (
     prepare_features,
     train_and_evaluate,
 )
+from ..plans.common import KEY as KEY_COLUMN
+from ..plans.model_features import MODEL_COLUMNS
+from ..plans.train_evaluate import TARGET, UNSCALED
 from ..session import cut_lineage
 from .area_sources import derived_sources, source_sql
 from .registry import query, table
+from .scoring import split_rows_sql
 
 YEAR = 1998
 
@@ -238,11 +242,24 @@ def document_health_profile(spark: SparkSession, folder: str) -> DataFrame:
     return health_profile(trees, "source")
 
 
-@query()
+SCALED = [c for c in MODEL_COLUMNS if c not in (KEY_COLUMN, TARGET, *UNSCALED)]
+PREPARED_SQL = (
+    MODEL_SQL
+    + f", m AS (SELECT * REPLACE (cast({TARGET} - 1 AS INTEGER) AS {TARGET}) FROM model), "
+    + split_rows_sql("m", KEY_COLUMN, TARGET)
+    + f", t AS (SELECT m.*, split FROM m JOIN r ON {KEY_COLUMN} = id), s AS (SELECT "
+    + ", ".join(f"avg({c}) AS {c}_mean, coalesce(nullif(stddev_pop({c}), 0), 1) AS {c}_scale" for c in SCALED)
+    + f" FROM t WHERE split = 'train') SELECT {KEY_COLUMN}, {TARGET}, split, {', '.join(UNSCALED)}, "
+    + ", ".join(f"round(({c} - {c}_mean) / {c}_scale, 6) AS {c}" for c in SCALED)
+    + " FROM t, s"
+)
+
+
+@query(PREPARED_SQL)
 def prepared_model_table(spark: SparkSession, folder: str) -> DataFrame:
     """Labels from 0, split and scaled, ready for the fits."""
-    features = cut_lineage(model_features(derived_sources(spark, folder), YEAR))
-    return prepare_features(features)
+    prepared = prepare_features(cut_lineage(model_features(derived_sources(spark, folder), YEAR)))
+    return prepared.withColumns({c: F.round(c, 6) for c in SCALED})
 
 
 @query()
