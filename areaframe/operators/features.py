@@ -127,6 +127,7 @@ def stratified_split(
     test_share: float = 0.1,
     validation_share: float = 0.1,
     bits: int = 16,
+    repeats: bool = False,
 ) -> DataFrame:
     """Adds ``split``: per class an exact, seeded share of test rows, then of the
     rest an exact share of validation rows.
@@ -139,7 +140,9 @@ def stratified_split(
     held in one task, and the rows themselves are not exchanged. The cuts are
     broadcast: at most two rows for each of the given ``classes``. A label
     outside ``classes`` stops the job, and so does an id on both sides of a cut: ids
-    that repeat elsewhere share a part and leave the sizes exact.
+    that repeat elsewhere share a part and leave the sizes exact. With ``repeats`` the rows of
+    an id on a cut are told apart by all their columns, and equal rows by number, so that sizes stay
+    exact there too. Only those rows are exchanged.
     """
     hashed = split_order(row_id, seed)
     position = F.struct(hashed.alias("hash"), as_column(row_id).alias("id"))
@@ -163,33 +166,66 @@ def stratified_split(
              (F.col("_rows") - F.col("_upto") + F.col("_n")).alias("_rank"))
 
     in_range = Window.partitionBy("_class", "_range", "_part").orderBy("_at")
-    last_rows = (
+    # Of the rows that share the last one's place in the order, how many lie before the cut.
+    ends = (
         placed.join(F.broadcast(cut_ranges), ["_class", "_range"])
-        .withColumns({"_place": F.row_number().over(in_range), "_next": F.lead("_at").over(in_range)})
+        .withColumns({
+            "_place": F.row_number().over(in_range),
+            "_next": F.lead("_at").over(in_range),
+            "_copies": F.row_number().over(in_range) - F.rank().over(in_range) + 1,
+        })
         .filter(F.col("_place") == F.col("_rank"))
-        .withColumn("_at", F.when(
+    )
+    if not repeats:
+        ends = ends.withColumn("_at", F.when(
             F.col("_at").eqNullSafe(F.col("_next")),
             F.raise_error(F.concat(F.lit("an id stands on both sides of a cut: "), F.col("_at.id").cast("string"))),
         ).otherwise(F.col("_at")))
-        .groupBy("_class")
-        .agg(
-            F.max(F.when(F.col("_part") == TEST, F.col("_at"))).alias("_test_end"),
-            F.max(F.when(F.col("_part") == VALIDATION, F.col("_at"))).alias("_validation_end"),
-        )
+
+    def of_part(part: str, value: str, name: str) -> Column:
+        return F.max(F.when(F.col("_part") == part, F.col(value))).alias(name)
+
+    last_rows = ends.groupBy("_class").agg(
+        of_part(TEST, "_at", "_test_end"),
+        of_part(VALIDATION, "_at", "_validation_end"),
+        of_part(TEST, "_copies", "_test_copies"),
+        of_part(VALIDATION, "_copies", "_validation_copies"),
     )
     joined = df.withColumns({"_class": as_column(label), "_hash": hashed}).join(
         F.broadcast(last_rows), "_class", "left"
     )
 
+    def on_end(end: str) -> Column:
+        same = (F.col("_hash") == F.col(f"{end}.hash")) & as_column(row_id).eqNullSafe(F.col(f"{end}.id"))
+        return F.coalesce(same, F.lit(False))
+
     def up_to_end(end: str) -> Column:
         same = (F.col("_hash") == F.col(f"{end}.hash")) & (as_column(row_id) <= F.col(f"{end}.id"))
         return (F.col("_hash") < F.col(f"{end}.hash")) | same
 
+    in_test, in_validation = up_to_end("_test_end"), up_to_end("_validation_end")
+    if repeats:
+        on_cut = on_end("_test_end") | on_end("_validation_end")
+        # Maps have no order.
+        rest = [
+            F.to_json(as_column(f.name)) if "map<" in f.dataType.simpleString() else as_column(f.name) for f in df.schema
+        ]
+        alike = Window.partitionBy("_class", "_hash", as_column(row_id)).orderBy(*rest)
+        joined = joined.filter(~on_cut).withColumn("_copy", F.lit(0)).unionByName(
+            joined.filter(on_cut).withColumn("_copy", F.row_number().over(alike))
+        )
+
+        def up_to_copy(end: str, copies: str, before: Column) -> Column:
+            return F.when(on_end(end), F.col("_copy") <= F.col(copies)).otherwise(before)
+
+        in_test = up_to_copy("_test_end", "_test_copies", in_test)
+        in_validation = up_to_copy("_validation_end", "_validation_copies", in_validation)
+
     part = (
         F.when(~F.coalesce(F.col("_class").isin(*classes), F.lit(False)),
                F.raise_error(F.lit("label is missing or outside the given classes")))
-        .when(up_to_end("_test_end"), TEST)
-        .when(up_to_end("_validation_end"), VALIDATION)
+        .when(in_test, TEST)
+        .when(in_validation, VALIDATION)
         .otherwise(TRAIN)
     )
     return joined.withColumn("split", part).select(*[as_column(c) for c in df.columns], "split")

@@ -40,9 +40,10 @@ def prepare_features(
     unscaled: Sequence[str] = UNSCALED,
     seed: int = SEED,
 ) -> DataFrame:
-    """Classes from 0, a stratified split, and columns scaled by the training part."""
+    """Classes from 0, a stratified split, and columns scaled by the training part. Areas may come
+    more than once: a spine with repeated keys has a row for each."""
     indexed = features.withColumn(target, shift(target, -1).cast("int"))
-    parts = stratified_split(indexed, key, target, classes, seed)
+    parts = stratified_split(indexed, key, target, classes, seed, repeats=True)
     scaled = [name for name in feature_names(features, key, target) if name not in unscaled]
     train = parts.filter(F.col("split") == TRAIN)
     return apply_scaling(parts, fit_scaling(train, scaled), scaled)
