@@ -18,14 +18,19 @@ from ..functions.missing import as_column
 from ..session import cut_lineage
 
 MANIFEST, STAGING = "_manifest.json", "_staging"
+#: Ranges are no smaller: the sample behind them, which the driver holds, has a hundred keys or more for each.
+ROWS_PER_RANGE = 100_000
 
 
-def file_numbers(df: DataFrame, order: Sequence[str], rows_per_file: int, name: str = "_file") -> DataFrame:
+def file_numbers(
+    df: DataFrame, order: Sequence[str], rows_per_file: int, name: str = "_file", rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
     """One row per key of ``order`` with the number of its file. Keys are counted, sorted by ranges, and each gets what lies before it: in its
-    range and in the ranges before. The window without a partition holds one row per range."""
+    range and in the ranges before. The window without a partition holds one row per range. How many ranges there are follows from the rows and not from
+    the files, of which small ones may be many."""
     keys = df.groupBy(*[as_column(c) for c in order]).agg(F.count(F.lit(1)).alias("_n"))
     total = keys.agg(F.sum("_n")).first()[0] or 0
-    ranged = keys.repartitionByRange(max(1, -(-total // rows_per_file)), *[as_column(c) for c in order])
+    ranged = keys.repartitionByRange(max(1, -(-total // max(rows_per_file, rows_per_range))), *[as_column(c) for c in order])
     ranged = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

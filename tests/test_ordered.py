@@ -87,3 +87,25 @@ def test_file_numbers_follow_from_counts(spark):
     frame = spark.createDataFrame([("a",)] * 5 + [("b",)] * 5 + [("c",)] * 25 + [("d",)], "k string")
     got = file_numbers(frame, ["k"], 10).select("k", "_file")
     assert rows(got) == [("a", 0), ("b", 0), ("c", 1), ("d", 3)]
+
+
+def test_ranges_follow_from_rows_and_not_from_small_files(spark, monkeypatch):
+    listed = [(None if r[0] is None else r[0], r[1]) for r in data()]
+    frame = spark.createDataFrame(listed, "k string, n int")
+    dealt, own = [], type(frame).repartitionByRange
+
+    def seen(self, count, *columns):
+        dealt.append(count)
+        return own(self, count, *columns)
+
+    monkeypatch.setattr(type(frame), "repartitionByRange", seen)
+    few = rows(file_numbers(frame, ["k", "n"], 2))
+    many = rows(file_numbers(frame, ["k", "n"], 2, rows_per_range=50))
+    assert dealt == [1, -(-len(listed) // 50)] and few == many
+    counts, before, expected = {}, 0, []
+    for key in listed:
+        counts[key] = counts.get(key, 0) + 1
+    for key in sorted(counts, key=lambda r: [(x is not None, x or 0 if not isinstance(x, str) else x) for x in r]):
+        expected.append((*key, counts[key], before // 2))
+        before += counts[key]
+    assert sorted(few, key=str) == sorted(expected, key=str)
