@@ -1,8 +1,8 @@
 """A net with one hidden layer of rectified units, fitted by full-batch descent with weight decay.
 
-A step is one pass: every row works out its share of the gradient as an array, with the weights as constants of
-the plan, and the arrays are summed as vectors, in each task first. Rows stay in the JVM and where they are. Only the sum, a
-number per weight, reaches the driver.
+A step is one pass: every task works out the gradient of its rows a batch at a time, as products of matrices, and hands on one
+array, the sum; these are summed as vectors. Rows stay where they are. Only the sum, a number per weight, reaches the
+driver. :meth:`ReluNet.gradients` says the same of a single row, as an expression.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -108,8 +110,44 @@ def gradient_sums(net: ReluNet, rows: DataFrame, x: str = "x", label: str = "lab
     return vectors.select(Summarizer.sum(F.col("v")).alias("v")).select(vector_to_array("v").alias("total"))
 
 
+def summed_batches(net: ReluNet):
+    """Of a task's batches of ``x`` and ``label``: one row, the sum of :meth:`ReluNet.gradients`; none where there are no rows."""
+    hidden, output = np.array(net.hidden), np.array(net.output)
+    width = hidden.shape[1]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            at = np.arange(len(x)), batch.column(1).to_numpy(zero_copy_only=False)
+            units = np.maximum(x @ hidden.T, 0.0)
+            a = np.hstack([units, np.ones((len(x), 1))])
+            powers = a @ output.T
+            powers = np.exp(powers - powers.max(axis=1, keepdims=True))
+            scores = powers / powers.sum(axis=1, keepdims=True)
+            own = scores[at]
+            # The first of the largest, as top_class.
+            right = scores.argmax(axis=1) == at[1]
+            delta = scores.copy()
+            delta[at] -= 1.0
+            # NaN counts as above 0, as in an expression.
+            reached = np.where(units <= 0.0, 0.0, delta @ output[:, :-1])
+            loss = -np.log(np.maximum(own, 1e-300))
+            sums = np.concatenate([[len(x), loss.sum(), right.sum()], (reached.T @ x).ravel(), (delta.T @ a).ravel()])
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+
+    return task
+
+
 def batch_gradient(net: ReluNet, rows: DataFrame) -> list[float]:
-    return list(gradient_sums(net, rows).first()["total"])
+    """The ``total`` of :func:`gradient_sums` over ``x`` and ``label``, in which nothing is missing."""
+    own = rows.select("x", F.col("label").cast("int").alias("label")).mapInArrow(summed_batches(net), "total array<double>")
+    vectors = own.select(array_to_vector("total").alias("v")).select(Summarizer.sum(F.col("v")).alias("v"))
+    return list(vectors.select(vector_to_array("v").alias("total")).first()["total"])
 
 
 def stepped(net: ReluNet, total: Sequence[float], rate: float, decay: float) -> ReluNet:
