@@ -95,7 +95,8 @@ def parcel_part(sources: Sources, distinct_gardens: bool) -> Part:
     """Lots and the gardens on their blocks, from one read of the lots."""
     totals = {"numbldgs": "buildings", "unitsres": "units", "bldgarea": "area"}
     cells = parcel_cells(
-        keyed_parcels(sources["parcels"]), sources["gardens"], ("borough",), tuple(totals), distinct_gardens
+        keyed_parcels(sources["parcels"]), sources["gardens"], ("borough",), tuple(totals), distinct_gardens,
+        most=sources["parcels"].count(),
     )
     return Part(
         cells,

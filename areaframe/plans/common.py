@@ -53,14 +53,21 @@ def keyed_parcels(parcels: DataFrame) -> DataFrame:
     return present.withColumn(KEY, F.coalesce(key_from_number("postcode"), F.lit("")))
 
 
+#: Cells that a task adds up by area: at most as many rows as its share of the lots, however many there are in all.
+LOTS_PER_TASK = 200_000
+
+
 def parcel_cells(
-    lots: DataFrame, gardens: DataFrame, modes: tuple[str, ...], totals: tuple[str, ...], distinct: bool = False
+    lots: DataFrame, gardens: DataFrame, modes: tuple[str, ...], totals: tuple[str, ...], distinct: bool = False,
+    most: int | None = None,
 ) -> DataFrame:
     """Lots counted by area, block and ``modes``, with sums of ``totals`` and how many gardens lie on the block.
 
     Everything that lots are asked for can be added up from these cells, so they are read once: ``_lots`` rows stand behind a cell, ``_gardens`` is
     what it adds to its area, a garden once per lot on its block, or with ``distinct`` once per area. Both sides of
-    the join come straight from an exchange, so a block that holds many lots or links is split."""
+    the join come straight from an exchange, so a block that holds many lots or links is split. A task of the join gets the
+    cells of whole blocks, in which an area seldom comes twice: nothing would be added up there, at the price of
+    a table of all its cells. So they are dealt anew by area and first mode, with ``most``, a bound of the number of lots, in parts of a fixed size."""
     coded = lots.withColumn("block", code_from_text("block"))
     cells = coded.groupBy(KEY, "block", *modes).agg(rows().alias("_lots"), *[total(c).alias(c) for c in totals])
     on_block = summarise(
@@ -72,4 +79,5 @@ def parcel_cells(
         first = F.row_number().over(Window.partitionBy(KEY, "block").orderBy(*modes))
         placed = placed.withColumn("_first", first)
         links = (F.col("_first") == 1).cast("bigint")
-    return placed.withColumn("_gardens", F.coalesce(F.col("_items") * links, F.lit(0).cast("bigint")))
+    placed = placed.withColumn("_gardens", F.coalesce(F.col("_items") * links, F.lit(0).cast("bigint")))
+    return placed if most is None else placed.repartition(max(1, -(-most // LOTS_PER_TASK)), KEY, modes[0])

@@ -109,7 +109,8 @@ def parcel_part(sources: Sources, distinct_gardens: bool, accounts: Accounts) ->
     """Lots and the gardens on their blocks, from one read of the lots."""
     totals = {"unitstotal": "total_units", "bldgarea": "total_building_areas"}
     cells = parcel_cells(
-        used_parcels(sources, accounts), sources["gardens"], ("landuse", "borough"), tuple(totals), distinct_gardens
+        used_parcels(sources, accounts), sources["gardens"], ("landuse", "borough"), tuple(totals), distinct_gardens,
+        most=sources["parcels"].count(),
     )
     return Part(
         cells,

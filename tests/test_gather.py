@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from areaframe.operators.aggregates import mean, summarise, summarise_with_modes, total
 from areaframe.operators.gather import Part, assemble_parts, gather, mean_of, present, total_of
 from areaframe.operators.joins import Branch, assemble
-from areaframe.plans import area_features, model_features
+from areaframe.plans import area_features, common, model_features
 from areaframe.queries.area_sources import derived_sources
 
 
@@ -85,3 +85,14 @@ def test_sources_are_read_once_and_exchanges_are_few(spark, tiny, job, most):
     assert plan.count("struct<l_partkey:bigint,l_suppkey") == 1
     assert plan.count("Exchange hashpartitioning") <= most, plan.count("Exchange hashpartitioning")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("job", [area_features, model_features])
+def test_cells_of_lots_are_added_up_in_parts_that_follow_from_the_lots(spark, tiny, monkeypatch, job):
+    sources = derived_sources(spark, tiny)
+    expected = rows(job(sources, 1998))
+    monkeypatch.setattr(common, "LOTS_PER_TASK", 500)
+    parts = -(-sources["parcels"].count() // 500)
+    got = job(sources, 1998)
+    assert f", {parts}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == expected
