@@ -1,8 +1,9 @@
 """A net with one hidden layer of rectified units, fitted by full-batch descent with weight decay.
 
-A step is one pass: every task works out the gradient of its rows a batch at a time, as products of matrices, and hands on one
-array, the sum; these are summed as vectors. Rows stay where they are. Only the sum, a number per weight, reaches the
-driver. :meth:`ReluNet.gradients` says the same of a single row, as an expression.
+Training rows are packed once into blocks of numbers, which the executors keep. A step is one pass over them: every task works
+out the gradient of its blocks as products of matrices and hands on one array, the sum. Rows stay where they are. What reaches the
+driver are these sums, a number per weight, from a few tasks per core at most; they are added up in the order of the tasks.
+:meth:`ReluNet.gradients` says the same of a single row, as an expression.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -110,18 +112,45 @@ def gradient_sums(net: ReluNet, rows: DataFrame, x: str = "x", label: str = "lab
     return vectors.select(Summarizer.sum(F.col("v")).alias("v")).select(vector_to_array("v").alias("total"))
 
 
-def summed_batches(net: ReluNet):
-    """Of a task's batches of ``x`` and ``label``: one row, the sum of :meth:`ReluNet.gradients`; none where there are no rows."""
+#: Rows in a block; a task gets one block's rows at least, where there are as many.
+BLOCK_ROWS = 4096
+#: Tasks of a step for each core at most, so that the sums the driver adds up follow the cluster and not the rows.
+TASKS_PER_CORE = 4
+
+
+def packed(most: int):
+    """A task's batches of ``x`` and ``label`` as blocks: the bytes of a matrix, a row for each row and its label last."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                some = batch.slice(start, most)
+                x = some.column(0).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+                block = np.column_stack([x, some.column(1).to_numpy(zero_copy_only=False)])
+                yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
+
+    return task
+
+
+def blocks_of(rows: DataFrame) -> RDD:
+    """``x`` and ``label``, in which nothing is missing, as bytes of blocks, kept by the executors: each step reads them as they
+    are. What an executor loses is packed again from ``rows``."""
+    blocks = rows.select("x", F.col("label").cast("int").alias("label")).mapInArrow(packed(BLOCK_ROWS), "block binary")
+    most = min(-(-rows.count() // BLOCK_ROWS), TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    return blocks.rdd.map(lambda row: bytes(row[0])).coalesce(max(1, most)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def summed_blocks(net: ReluNet):
+    """Of a task's blocks: one array, the sum of :meth:`ReluNet.gradients`; none where there are no rows."""
     hidden, output = np.array(net.hidden), np.array(net.output)
     width = hidden.shape[1]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(blocks: Iterator[bytes]) -> Iterator[np.ndarray]:
         total = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            at = np.arange(len(x)), batch.column(1).to_numpy(zero_copy_only=False)
+        for block in blocks:
+            both = np.frombuffer(block).reshape(-1, width + 1)
+            x = both[:, :-1]
+            at = np.arange(len(x)), both[:, -1].astype(np.int64)
             units = np.maximum(x @ hidden.T, 0.0)
             a = np.hstack([units, np.ones((len(x), 1))])
             powers = a @ output.T
@@ -138,16 +167,22 @@ def summed_batches(net: ReluNet):
             sums = np.concatenate([[len(x), loss.sum(), right.sum()], (reached.T @ x).ravel(), (delta.T @ a).ravel()])
             total = sums if total is None else total + sums
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+            yield total
 
     return task
 
 
+def block_gradient(net: ReluNet, blocks: RDD) -> list[float]:
+    """The ``total`` of :func:`gradient_sums` over the rows in ``blocks``."""
+    return sum(blocks.mapPartitions(summed_blocks(net)).collect()).tolist()
+
+
 def batch_gradient(net: ReluNet, rows: DataFrame) -> list[float]:
     """The ``total`` of :func:`gradient_sums` over ``x`` and ``label``, in which nothing is missing."""
-    own = rows.select("x", F.col("label").cast("int").alias("label")).mapInArrow(summed_batches(net), "total array<double>")
-    vectors = own.select(array_to_vector("total").alias("v")).select(Summarizer.sum(F.col("v")).alias("v"))
-    return list(vectors.select(vector_to_array("v").alias("total")).first()["total"])
+    blocks = blocks_of(rows)
+    total = block_gradient(net, blocks)
+    blocks.unpersist()
+    return total
 
 
 def stepped(net: ReluNet, total: Sequence[float], rate: float, decay: float) -> ReluNet:
@@ -181,8 +216,10 @@ def fit_relu_net(
     rows = cut_lineage(labelled.select(net.inputs().alias("x"), known.alias("label")))
     if rows.isEmpty():
         return net
+    blocks = blocks_of(rows)
     for _ in range(steps):
-        net = stepped(net, batch_gradient(net, rows), rate, decay)
+        net = stepped(net, block_gradient(net, blocks), rate, decay)
     # What the last step led to, seen by one pass more; its gradient is not followed.
-    seen = stepped(net, batch_gradient(net, rows), 0.0, 0.0)
+    seen = stepped(net, block_gradient(net, blocks), 0.0, 0.0)
+    blocks.unpersist()
     return ReluNet(net.features, net.hidden, net.output, seen.trace)

@@ -277,7 +277,7 @@ def boosted_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 def net_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     parts, names = embedding_parts(spark, folder)
     train = parts.filter(F.col("split") == TRAIN)
-    return held_out_scores(fit_relu_net(train, names, "label", len(CLASSES), steps=20, seed=SEED), parts)
+    return held_out_scores(fit_relu_net(train, names, "label", len(CLASSES), seed=SEED), parts)
 
 
 @query()

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from areaframe.operators import nets
 from areaframe.operators.boosting import (
     BoostedTrees,
     Leaf,
@@ -23,6 +24,7 @@ from areaframe.operators.metrics import log_loss_of
 from areaframe.operators.models import fit_boosted_trees, fit_relu_net, predict, training_trace
 from areaframe.operators.nets import ReluNet, batch_gradient, gradient_sums, start_net, stepped
 from areaframe.plans import prepare_features, train_and_evaluate
+from areaframe.queries import scoring
 
 
 @pytest.fixture(scope="module")
@@ -290,3 +292,37 @@ def test_batches_give_the_sums_of_single_rows_and_leave_the_expressions(spark, m
     monkeypatch.setattr(ReluNet, "gradients", None)
     train = frame.selectExpr("x[0] AS a", "x[1] AS b", "label")
     assert len(fit_relu_net(train, ["a", "b"], "label", 3, hidden=5, steps=2).trace) == 3
+
+
+def test_row_counts_of_many_tasks_are_exact(spark):
+    """A sum taken as a mean times a count came out as 297.99... and was cut to 297."""
+    net = start_net(["a"], 2, hidden=2, seed=1)
+    for n in range(290, 300):
+        rows = spark.range(n).selectExpr("array(double(id), 1D) AS x", "int(id % 2) AS label").repartition(7)
+        assert batch_gradient(net, rows)[0] == n
+
+
+def test_blocks_are_cut_and_dealt_to_tasks_by_size(spark, monkeypatch):
+    monkeypatch.setattr(nets, "BLOCK_ROWS", 10)
+    rows = spark.range(95).selectExpr("array(double(id), 1D) AS x", "int(id % 2) AS label").repartition(6)
+    net = start_net(["a"], 2, hidden=2, seed=1)
+    blocks = nets.blocks_of(rows)
+    sizes = [len(b) // 24 for b in blocks.collect()]
+    assert sum(sizes) == 95 and max(sizes) <= 10 and blocks.getNumPartitions() <= 6
+    assert nets.block_gradient(net, blocks) == pytest.approx(list(gradient_sums(net, rows).first()["total"]), rel=1e-9)
+    blocks.unpersist()
+    monkeypatch.setattr(nets, "BLOCK_ROWS", 4096)
+    assert nets.blocks_of(rows).getNumPartitions() == 1
+
+
+def test_the_registered_net_takes_every_step_of_the_job(spark, tiny, monkeypatch):
+    fitted = []
+
+    def kept(*args, **named):
+        fitted.append(fit_relu_net(*args, **named))
+        return fitted[-1]
+
+    monkeypatch.setattr(scoring, "fit_relu_net", kept)
+    scored = scoring.neural_net_rows(spark, tiny).collect()
+    assert len(scored) == 45 and [len(net.trace) for net in fitted] == [1001]
+    assert fitted[0].trace[-1][1] < fitted[0].trace[20][1]
