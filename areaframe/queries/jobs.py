@@ -265,4 +265,4 @@ def prepared_model_table(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def train_evaluate(spark: SparkSession, folder: str) -> DataFrame:
     features = model_features(derived_sources(spark, folder), YEAR)
-    return train_and_evaluate(features, steps=30)
+    return train_and_evaluate(features)

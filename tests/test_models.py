@@ -1,5 +1,6 @@
 """Both classifiers end to end on a table they can learn, and step by step against plain ones."""
 
+import inspect
 import math
 import random
 
@@ -24,7 +25,7 @@ from areaframe.operators.metrics import log_loss_of
 from areaframe.operators.models import fit_boosted_trees, fit_relu_net, predict, training_trace
 from areaframe.operators.nets import ReluNet, batch_gradient, gradient_sums, start_net, stepped
 from areaframe.plans import prepare_features, train_and_evaluate
-from areaframe.queries import scoring
+from areaframe.queries import jobs, scoring
 
 
 @pytest.fixture(scope="module")
@@ -326,3 +327,12 @@ def test_the_registered_net_takes_every_step_of_the_job(spark, tiny, monkeypatch
     scored = scoring.neural_net_rows(spark, tiny).collect()
     assert len(scored) == 45 and [len(net.trace) for net in fitted] == [1001]
     assert fitted[0].trace[-1][1] < fitted[0].trace[20][1]
+
+
+def test_the_registered_evaluation_trains_for_every_step_of_the_job(spark, tiny, monkeypatch):
+    asked = []
+    own = inspect.signature(train_and_evaluate)
+    monkeypatch.setattr(jobs, "train_and_evaluate", lambda *args, **named: asked.append(own.bind(*args, **named)))
+    jobs.train_evaluate(spark, tiny)
+    asked[0].apply_defaults()
+    assert (asked[0].arguments["rounds"], asked[0].arguments["steps"]) == (10, 1000)
