@@ -78,8 +78,8 @@ def components(edges: DataFrame, most_rounds: int = 100, chunk: int = 1 << 16) -
     Large-star: every larger neighbour of a node is linked to the smallest of its
     neighbourhood. Small-star: every smaller neighbour and the node itself are. Each
     keeps the components; repeated, they leave one star per component. Minima are
-    taken with partial sums and written before they are joined back, so both sides of
-    each join come straight from an exchange and a hub's rows can be split. Before each
+    taken with partial sums and written before they are joined back, merged at every size so that the
+    driver holds no side, so both sides of each join come straight from an exchange and a hub's rows can be split. Before each
     round a task turns the edges it reads into stars, at most ``chunk`` at a time, and
     then the stars of as many tasks as hold ``chunk`` edges are put together in one.
     """
@@ -95,10 +95,10 @@ def components(edges: DataFrame, most_rounds: int = 100, chunk: int = 1 << 16) -
         both = current.union(current.select("b", "a"))
         least = save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         wide = save(
-            both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "edges"
+            both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "edges"
         )
         least = save(wide.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = wide.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = wide.join(least.hint("merge"), "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = save(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         if not _unsettled(current):
             break

@@ -10,6 +10,9 @@
    component meets every block. A link between two components has an end outside the
    largest, so no link is lost, and no pair is ever a row.
 4. Components of the links found by alternating large-star and small-star.
+
+Every join is merged, at every size: each side grows with the corpus, and as a broadcast it would lie in the driver's
+memory, for small corpora only.
 """
 
 from __future__ import annotations
@@ -224,12 +227,12 @@ def links(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> tuple[Data
         .filter("_n > 1").select("key", "leader"),
         "leaders",
     )
-    ties = keyed.join(leaders, "key").filter("cid != leader").select("cid", "leader").distinct()
+    ties = keyed.join(leaders.hint("merge"), "key").filter("cid != leader").select("cid", "leader").distinct()
     groups = components(ties).select(F.col("node").alias("cid"), F.col("component").alias("grp"))
     sizes = save(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "sizes")
     blocks = F.ceil(F.col("size") / p.block).cast("int")
     placed = save(
-        groups.join(sizes, "grp").join(classes.select("cid", "rep"), "cid").select(
+        groups.join(sizes.hint("merge"), "grp").join(classes.select("cid", "rep").hint("merge"), "cid").select(
             "cid", "rep", "grp", blocks.alias("blocks"),
             F.pmod(F.xxhash64("cid", F.lit(17)), blocks).cast("int").alias("block"),
         ),
@@ -239,7 +242,6 @@ def links(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> tuple[Data
     wanted = placed.select(
         F.col("rep.id").alias("_id"), F.col("rep.th").alias("_th"), "cid", "grp", "block", "blocks"
     )
-    # Merged at every size: as a broadcast it would do for small corpora only.
     chosen = slim.join(
         wanted.hint("merge"), (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id"))
     )
@@ -274,7 +276,7 @@ def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
     # What is outside the largest component of its group meets every block.
     known = save(components(found), "known")
     parts = save(
-        large.join(known, large["cid"] == known["node"], "left").select(
+        large.join(known.hint("merge"), large["cid"] == known["node"], "left").select(
             "cid", "grp", "block", "blocks", F.coalesce("component", "cid").alias("part")
         ),
         "parts",
@@ -284,7 +286,7 @@ def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
         F.max(F.struct("_n", "part")).alias("_top"), F.sum("_n").alias("_all")
     ).select("grp", F.col("_top.part").alias("main"), (F.col("_all") - F.col("_top._n")).alias("outside"))
     outside = save(
-        parts.join(save(largest, "largest"), "grp").filter("part != main").select(
+        parts.join(save(largest, "largest").hint("merge"), "grp").filter("part != main").select(
             "cid", F.pmod(
                 F.xxhash64("cid", F.lit(23)), F.ceil(F.col("outside") / p.block)
             ).cast("int").alias("pack"),
@@ -297,22 +299,24 @@ def _checked(sets: DataFrame, placed: DataFrame, p: MinHash) -> DataFrame:
     packs = outside.select("grp", "pack").distinct()
     numbered = wide.select("cid", "n", "items", "signature")
     left = numbered.join(
-        outside.withColumn("_to", F.explode(F.expr("sequence(0, blocks - 1)"))), "cid"
+        outside.withColumn("_to", F.explode(F.expr("sequence(0, blocks - 1)"))).hint("merge"), "cid"
     ).select(_unit("grp", "pack", "_to").alias("unit"), F.lit(1).alias("side"), "cid", "part", "n", "items", "signature")
-    right = numbered.join(parts.select("cid", "grp", "block", "part"), "cid").join(
-        save(packs, "packs"), "grp"
+    right = numbered.join(parts.select("cid", "grp", "block", "part").hint("merge"), "cid").join(
+        save(packs, "packs").hint("merge"), "grp"
     ).select(_unit("grp", "pack", "block").alias("unit"), F.lit(0).alias("side"), "cid", "part", "n", "items", "signature")
     more = _solved(left.union(right), p)
     # What is new joins components that are known; only these are gone through again.
     named = save(parts.select("cid", F.col("part")), "named")
     ends = (
-        save(more, "links").join(named.select(F.col("cid").alias("a"), F.col("part").alias("pa")), "a")
-        .join(named.select(F.col("cid").alias("b"), F.col("part").alias("pb")), "b").select("pa", "pb")
+        save(more, "links").join(named.select(F.col("cid").alias("a"), F.col("part").alias("pa")).hint("merge"), "a")
+        .join(named.select(F.col("cid").alias("b"), F.col("part").alias("pb")).hint("merge"), "b").select("pa", "pb")
     )
     met = save(components(ends), "met")
     outer = parts.select(F.col("cid").alias("node"), F.col("part").alias("component"))
-    inner = known.join(large.select("cid"), F.col("node") == F.col("cid"), "left_anti")
-    renamed = outer.join(met.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    inner = known.join(large.select("cid").hint("merge"), F.col("node") == F.col("cid"), "left_anti")
+    renamed = outer.join(
+        met.select(F.col("node").alias("component"), F.col("component").alias("_to")).hint("merge"), "component", "left"
+    )
     return inner.select("node", "component").union(renamed.select("node", F.coalesce("_to", "component")))
 
 
@@ -325,14 +329,14 @@ def representatives(
     rows, joined = links(docs, id_col, text_col, params)
     worded = rows.filter("n > 0")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
-    parts = worded.groupBy("cid").agg(first.alias("rep")).join(joined, F.col("cid") == F.col("node"), "left")
+    parts = worded.groupBy("cid").agg(first.alias("rep")).join(joined.hint("merge"), F.col("cid") == F.col("node"), "left")
     best = parts.groupBy(F.coalesce("component", "cid").alias("part")).agg(F.min("rep").alias("rep"))
     stay = save(best.select("rep.id", "rep.th").union(rows.filter("n = 0").select("id", "th").distinct()), "stay")
     often = worded.groupBy("id", "th").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
         F.col("id").alias("_id"), F.col("th").alias("_th")
     )
     same = (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id"))
-    return stay, save(stay.join(often, same, "left_semi"), "repeated")
+    return stay, save(stay.join(often.hint("merge"), same, "left_semi"), "repeated")
 
 
 def near_duplicates(
@@ -350,14 +354,14 @@ def near_duplicates(
     rows, joined = links(docs, id_col, text_col, params)
     parts = save(
         rows.filter("n > 0").groupBy("cid").agg(F.min("id").alias("rep"))
-        .join(joined, F.col("cid") == F.col("node"), "left")
+        .join(joined.hint("merge"), F.col("cid") == F.col("node"), "left")
         .select("cid", "rep", F.coalesce("component", "cid").alias("part")),
         "parts",
     )
     names = save(parts.groupBy("part").agg(F.min("rep").alias("name")), "names")
-    named = save(parts.join(names, "part").select("cid", "name"), "named")
+    named = save(parts.join(names.hint("merge"), "part").select("cid", "name"), "named")
     out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(
-        named, "cid", "left"
+        named.hint("merge"), "cid", "left"
     )
     name = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id"))
     return out.select(

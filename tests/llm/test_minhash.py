@@ -2,8 +2,9 @@ import numpy as np
 import pyarrow as pa
 import random
 
-from areaframe.llm import minhash
+from areaframe.llm import graph, minhash
 from areaframe.llm.minhash import MinHash, near_duplicates
+from areaframe.llm.shared import save
 
 from .reference import near_duplicate_components
 
@@ -64,3 +65,23 @@ def test_known_components_of_negative_name_are_not_compared_again():
     })
     found = [(r["a"], r["b"]) for out in minhash._links(minhash.MinHash())(iter([batch])) for r in out.to_pylist()]
     assert found == [(-7, 5)]
+
+
+def test_no_side_of_a_join_goes_through_the_driver(spark, monkeypatch):
+    """Sides grow with the corpus; small ones were broadcast, which the driver's memory bears up to some size only."""
+    plans = []
+
+    def planned(df, what="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, what)
+
+    monkeypatch.setattr(minhash, "save", planned)
+    monkeypatch.setattr(graph, "save", planned)
+    # Some groups are cut into blocks, so that every join is met.
+    texts = variants(2, 2, 60) + variants(3, 5, 3)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:3])], "doc_id bigint, text string")
+    params = MinHash(shingle=2, block=16)
+    plans.append(near_duplicates(frame, params=params)._jdf.queryExecution().executedPlan().toString())
+    minhash.representatives(frame, params=params)
+    assert sum("SortMergeJoin" in p for p in plans) >= 12
+    assert not [p for p in plans if "Broadcast" in p]
